@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op8_ngram_jaccard_join
 from .langid import op9_language_id
+from .neighbours import op10_nearest_neighbours
 from .packing import op4_packing
 from .quality import op3_quality_rules
 from .toxicity import op5_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {}
