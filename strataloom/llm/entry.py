@@ -13,9 +13,11 @@ from .packing import op4_packing
 from .quality import op3_quality_rules
 from .toxicity import op5_toxicity
 from .warc import op1_warc
+from .wrappers import op2_html_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
