@@ -10,6 +10,7 @@ from .jaccard import op8_ngram_jaccard_join
 from .langid import op9_language_id
 from .neighbours import op10_nearest_neighbours
 from .packing import op4_packing
+from .passages import op6_substring_dedup
 from .pieces import op7_sentencepiece
 from .quality import op3_quality_rules
 from .toxicity import op5_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
