@@ -9,9 +9,9 @@ DEFAULT_BRANCH = "main"
 
 KV = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType(), False)])
 OVERLAY = T.StructType([*KV.fields[:1], T.StructField("value", T.BinaryType(), True)])
-LEAF_PAIRS = T.StructType([T.StructField("leaf_hash", T.StringType()), T.StructField("ord", T.IntegerType()), *KV.fields])
+LEAF_PAIRS = T.StructType([T.StructField("leaf_hash", T.StringType()), *KV.fields, T.StructField("fan", T.StringType())])
 MANIFEST = T.StructType(
-    [T.StructField(n, t) for n, t in (("root_hash", T.StringType()), ("leaf_ord", T.IntegerType()), ("leaf_hash", T.StringType()), ("first_key", T.BinaryType()), ("last_key", T.BinaryType()), ("n_pairs", T.LongType()), ("n_bytes", T.LongType()))]
+    [T.StructField(n, t) for n, t in (("root_hash", T.StringType()), ("leaf_hash", T.StringType()), ("first_key", T.BinaryType()), ("last_key", T.BinaryType()), ("n_pairs", T.LongType()), ("n_bytes", T.LongType()))]
 )
 NODES = T.StructType([T.StructField(n, t) for n, t in (("node_hash", T.StringType()), ("kind", T.IntegerType()), ("level", T.IntegerType()), ("n_children", T.IntegerType()), ("body", T.BinaryType()))])
 COMMITS = T.StructType([T.StructField(n, t) for n, t in (("commit_hash", T.StringType()), ("root_hash", T.StringType()), ("message", T.StringType()), ("parent", T.StringType()), ("ts", T.LongType()), ("depth", T.IntegerType()))])
