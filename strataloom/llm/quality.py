@@ -157,7 +157,9 @@ def assess(docs: DataFrame, rules: RepetitionRules | None = None, carry: list[st
 def keep(docs: DataFrame, rules: RepetitionRules | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
     columns = docs.columns
-    return assess(docs, rules, columns).filter("kept").select(*columns)
+    held = [f"__{i}" for i in range(len(columns))]  # no column of docs may clash with a measure
+    own = docs.select(*(F.col(c).alias(h) for c, h in zip(columns, held)), "text")
+    return assess(own, rules, held).filter("kept").select(*(F.col(h).alias(c) for c, h in zip(columns, held)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
