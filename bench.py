@@ -59,8 +59,8 @@ def main() -> None:
             timed(f"commit_{share}_changed", lambda s=share: commits.append(store.commit(s)))
             timed(f"diff_{share}_pruned", lambda: done(store.diff(commits[0], commits[-1])))
             timed(f"diff_{share}_full", lambda: done(diff.diff(store.snapshot(commits[0]), store.snapshot(commits[-1]))))
-    chain = spark.createDataFrame([(str(i), str(i - 1)) for i in range(200)], "commit_hash string, parent string")
-    timed("log_200_commits", lambda: done(history.log(chain, "199", 300)))
+    chain = spark.createDataFrame([(str(i), str(i - 1)) for i in range(1000)], "commit_hash string, parent string")
+    timed("log_1000_commits", lambda: done(history.log(chain, "999")))
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "commit_rows_per_s": round(rows / took["commit_all_orders"]), "sf": SF.rsplit("sf", 1)[-1]}))
 
 

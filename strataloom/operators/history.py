@@ -6,33 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import ZERO_HASH
+from ..sources.work import removed, written
 
-DEPTH = 1_000_000
+#: Commit rows whose parents the driver follows itself; longer histories are walked by doubling.
+DRIVER_COMMITS = 200_000
 
 
-def log(commits: DataFrame, head: str, limit: int = DEPTH) -> DataFrame:
-    """The chain of commits (commit_hash, parent, ...) from head to its root, newest first by `distance`."""
+def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(commit_hash, distance) of all that heads (commit_hash) come from, themselves included, by least distance.
+
+    A short history's parents are read once and followed on the driver. A longer one is walked by
+    doubling: after k rounds all within 2**k steps are known, and every commit knows its 2**k-th
+    ancestor, so the rounds are the logarithm of the depth.
+    """
     spark = commits.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE chain(commit_hash, parent, distance) MAX RECURSION LEVEL {int(limit)} AS (
-            SELECT commit_hash, parent, 0 FROM {{c}} WHERE commit_hash = {{head}}
-            UNION ALL
-            SELECT c.commit_hash, c.parent, chain.distance + 1 FROM chain JOIN {{c}} AS c ON c.commit_hash = chain.parent)
-            SELECT c.*, distance FROM chain JOIN {{c}} AS c USING (commit_hash) ORDER BY distance""",
-        c=commits,
-        head=head,
-    )
-
-
-def first_parent_chain(commits: DataFrame, head: str) -> list[tuple[str, str]]:
-    """(commit, parent) from head down, by one bounded read of commit metadata: for small stores' drivers."""
-    parent = {r[0]: r[1] for r in commits.select("commit_hash", "parent").collect()}
-    out = []
-    while head != ZERO_HASH and head in parent:
-        out.append((head, parent[head]))
-        head = parent[head]
-    return out
+    links = commits.select("commit_hash", "parent")
+    if links.limit(DRIVER_COMMITS + 1).count() <= DRIVER_COMMITS:
+        parent = dict(map(tuple, links.collect()))
+        found: dict[str, int] = {}
+        for (head,) in heads.select("commit_hash").distinct().limit(DRIVER_COMMITS).collect():
+            steps = 0
+            while head in parent and found.get(head, steps + 1) > steps:
+                found[head] = steps
+                head, steps = parent[head], steps + 1
+        return spark.createDataFrame(list(found.items()), "commit_hash string, distance int")
+    here = links.select("commit_hash")
+    reach, at_reach = written(heads.select("commit_hash").distinct().join(here, "commit_hash").withColumn("distance", F.lit(0)), "reach")
+    jump, at_jump = written(links.join(here.select(F.col("commit_hash").alias("parent")), "parent").select("commit_hash", F.col("parent").alias("to")), "jump")
+    step = 1
+    while not jump.isEmpty():
+        further = reach.join(jump, "commit_hash").select(F.col("to").alias("commit_hash"), (F.col("distance") + step).alias("distance"))
+        grown, at_grown = written(reach.unionByName(further).groupBy("commit_hash").agg(F.min("distance").alias("distance")), "reach")
+        far, at_far = written(jump.join(jump.select(F.col("commit_hash").alias("to"), F.col("to").alias("far")), "to").select("commit_hash", F.col("far").alias("to")), "jump")
+        removed(spark, at_reach, at_jump)
+        reach, at_reach, jump, at_jump, step = grown, at_grown, far, at_far, 2 * step
+    return reach
+
+
+def log(commits: DataFrame, head: str) -> DataFrame:
+    """The chain of commits (commit_hash, parent, ...) from head to its root, newest first by `distance`."""
+    start = commits.sparkSession.createDataFrame([(head,)], "commit_hash string")
+    return commits.join(ancestors(commits, start), "commit_hash").orderBy("distance")
 
 
 def merge_base(commits: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,18 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import pair_bytes, u32
+from .history import ancestors
 
 
-def reachable(commits: DataFrame, heads: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def reachable(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """Commits that any head (commit_hash) comes from."""
-    return commits.sparkSession.sql(
-        f"""WITH RECURSIVE seen(commit_hash, parent) MAX RECURSION LEVEL {int(limit)} AS (
-            SELECT c.commit_hash, c.parent FROM {{c}} AS c JOIN {{h}} AS h ON h.commit_hash = c.commit_hash
-            UNION ALL SELECT c.commit_hash, c.parent FROM seen JOIN {{c}} AS c ON c.commit_hash = seen.parent)
-            SELECT DISTINCT commit_hash FROM seen""",
-        c=commits,
-        h=heads.select("commit_hash").distinct(),
-    )
+    return ancestors(commits, heads).select("commit_hash")
 
 
 def unreachable(commits: DataFrame, heads: DataFrame) -> DataFrame:

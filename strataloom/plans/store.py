@@ -183,7 +183,7 @@ class Store:
     def log(self, head: str | None = None) -> DataFrame:
         """Commits from head back to the first, newest first."""
         head = head or self._head
-        return history.log(self.commits(), head, self.depth(head) + 1)
+        return history.log(self.commits(), head)
 
     # snapshots
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from strataloom import model
 from strataloom.functions.buzhash import ChunkSizes
+from strataloom.operators import history, maintenance
 from strataloom.plans.refs import check_name
 from strataloom.plans.store import Store
 from strataloom.sources import versioned
@@ -205,3 +206,15 @@ def test_valid_names(name):
 def test_invalid_names(name, error):
     with pytest.raises(error):
         check_name(name)
+
+
+@pytest.mark.parametrize("on_driver", [True, False])
+def test_long_histories(spark, monkeypatch, on_driver):
+    monkeypatch.setattr(history, "DRIVER_COMMITS", 1000 if on_driver else 5)
+    chain = [(f"m{i}", f"m{i - 1}" if i else model.ZERO_HASH) for i in range(37)] + [(f"f{i}", f"f{i - 1}" if i else "m20") for i in range(4)]
+    commits = spark.createDataFrame(chain, "commit_hash string, parent string")
+    assert [(r.commit_hash, r.distance) for r in history.log(commits, "m36").collect()] == [(f"m{36 - d}", d) for d in range(37)]
+    assert history.merge_base(commits, "m36", "f3").head().asDict() == {"commit_hash": "m20", "from_a": 16, "from_b": 4}
+    heads = spark.createDataFrame([("f3",), ("m2",)], "commit_hash string")
+    assert {r.commit_hash for r in maintenance.unreachable(commits, heads).collect()} == {f"m{i}" for i in range(21, 37)}
+    assert history.log(commits, "nowhere").collect() == []
