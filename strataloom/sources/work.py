@@ -25,7 +25,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path: lineage is cut there, and a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/strataloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
