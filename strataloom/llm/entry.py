@@ -30,4 +30,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # A digit of base32 is five bits of two neighbouring hexadecimal digits of SHA-1.
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first, list_transform(range(41), lambda i: strpos('0123456789abcdef', substr(h || '0', i + 1, 1)) - 1) AS d FROM p)
+        SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((d[1 + 5 * k // 4] * 16 + d[2 + 5 * k // 4]) >> (3 - 5 * k % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+    "op8_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS na, b.n AS nb, count(*) AS shared
+            FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+        l AS (SELECT x, y FROM c WHERE 100 * shared >= 90 * (na + nb - shared)),
+        both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS far FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN both_ways b ON b.x = r.far)
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id""",
+}
