@@ -228,8 +228,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, s: Settings | N
                 space = shared.value[key[0].as_py()]
                 v, q = stacked(a["v"], a.num_rows), stacked(b["v"], b.num_rows)
                 ids = a["vec_id"].to_numpy()
-                rows = np.unique(np.column_stack([ids.astype(np.float64), v]), axis=0, return_index=True)[1] if len(np.unique(ids)) < len(ids) else slice(None)
-                ids, v = ids[rows], v[rows]
+                if len(np.unique(ids)) < len(ids):  # repeated rows count once
+                    order = np.lexsort((*v.T, ids))
+                    differs = (ids[order][1:] != ids[order][:-1]) | (v[order][1:] != v[order][:-1]).any(1)
+                    rows = np.sort(order[np.r_[True, differs]])
+                    ids, v = ids[rows], v[rows]
                 parts += search(ids, v, space.project(v, False), b["vec_id"].to_numpy(), q, space.project(q, True), b["known"].to_numpy(), space.top, k, s)
             return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
