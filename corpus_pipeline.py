@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataloom.llm import jaccard, langid, packing, passages, quality
-from strataloom.llm.common import new_path, table
+from strataloom.llm.common import new_path, parted, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +24,20 @@ def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links of five-word shingles at Jaccard 0.8: that of least id.
 
-    Documents with an empty set are linked with nothing and stay. Of repeated rows one stays; of
-    rows with a null id, which name no component, each stays unless its component has an id.
+    Documents with an empty set are linked with nothing and stay. Of repeated rows one stays. Rows
+    with a null id can't be told apart and stay.
     """
     columns = docs.columns
-    found = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    first = found.filter("component_id = doc_id").select("doc_id").distinct()
-    nameless = docs.filter("doc_id is null")
-    if nameless.isEmpty():
-        return docs.join(first, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    return docs.join(first, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"]).unionByName(nameless)
+    found, _ = written(jaccard.jaccard_components(docs, words=5, num=80, den=100), "near")
+    named = found.filter("doc_id is not null")
+    per = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    # Documents that surely stay aren't moved: the others are those to drop and repeated rows.
+    touched = per.filter("n > 1 or not stays")
+    some, clear = parted(docs, "doc_id", touched.select("doc_id"))
+    stays = per.filter("stays").select("doc_id")
+    kept = some.join(stays, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    nameless = some.filter("doc_id is null").select(*columns)
+    return clear.select(*columns).unionByName(kept).unionByName(nameless)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,8 +78,8 @@ def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 SIEVE_BITS = 25
 
 
-def sieved(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
-    """rows less most of those whose column isn't among keys (a one-column table); none that is goes.
+def parted(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:
+    """rows whose column may be among keys (a one-column table), and the others, whose column surely isn't.
 
     A bit map of 2**bits hashed places is broadcast: 2**(bits - 6) rows at most, whatever the input.
     Beyond about that many keys it lets more through, and the exact join that follows does the rest.
@@ -87,10 +87,15 @@ def sieved(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS
     place = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     words_ = keys.select(place.alias("place")).select(F.expr("shiftright(place, 6)").alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    own = rows.withColumn("place", F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits)))
-    own = own.withColumn("__at", F.expr("shiftright(place, 6)")).withColumn("__mask", bit).drop("place")
+    own = rows.withColumn("__place", F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits)))
+    own = own.withColumn("__at", F.expr("shiftright(__place, 6)")).withColumn("__mask", F.expr("shiftleft(1L, cast(__place & 63 as int))")).drop("__place")
     hit = (F.col("__at") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__mask")) != 0)
-    return own.join(F.broadcast(words_), hit, "left_semi").select(*rows.columns)
+    return tuple(own.join(F.broadcast(words_), hit, how).select(*rows.columns) for how in ("left_semi", "left_anti"))  # type: ignore[return-value]
+
+
+def sieved(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """rows less most of those whose column isn't among keys; none that is goes."""
+    return parted(rows, column, keys, bits)[0]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

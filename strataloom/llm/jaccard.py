@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, lists, map_arrow, mix, remove, shingles, table, written
+from .common import ODD, lists, map_arrow, mix, remove, shingles, sieved, table, written
 from .components import components
 
-SLACK = 3
+#: Parts on which similar sets agree at least: these, and one more for every so many elements they may differ in.
+SLACK, MORE = 3, 8
+#: Chance collisions only cost checks, and short signatures take less room in tables and shuffles.
+SIGNATURE_BITS = 48
 SKETCH_WORDS = 16
 BLOCK = 1024
 REPRESENTATIVES = 3
@@ -33,20 +36,22 @@ def difference(sizes: int, num: int, den: int) -> int:
     return sizes * (den - num) // (den + num)
 
 
-def signatures(found: np.ndarray, num: int, den: int) -> np.ndarray:
-    """PartEnum's signatures of a set of hashes: similar sets have one in common at least.
+def signatures(found: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, list[int]]:
+    """PartEnum's signatures of a set of hashes, how many of them are the first band's, and what each band needs.
 
     Sets of one size band that are similar differ in k elements at most. The domain is cut into
-    n = k + SLACK parts by hash, so similar sets agree on SLACK parts or more, and each part a set
+    n = k + slack parts by hash, so similar sets agree on slack parts or more, and each part a set
     occupies gives one signature (the first-level subsets of size one, the cheapest setting of the
-    enumeration). Parts empty in both sets also agree: a set with SLACK or more empty parts, which
+    enumeration). Parts empty in both sets also agree: a set with slack or more empty parts, which
     is rare, gives those signatures too, so no pair is lost. A set that may be similar to a larger
-    one of the next band also gives that band's signatures.
+    one of the next band also gives that band's signatures. A band needs slack signatures, less the
+    set's empty parts: with fewer that some other set has too, it is similar to none in that band.
     """
     size = len(found)
     if not size:
-        return np.zeros(0, np.uint64)
-    out = []
+        return np.zeros(0, np.uint64), 0, [1, 1]
+    out: list[np.ndarray] = []
+    needs: list[int] = []
     band, high = band_of(size)
     bands = [(band, high)]
     if size * den // num > high:
@@ -54,18 +59,21 @@ def signatures(found: np.ndarray, num: int, den: int) -> np.ndarray:
     spread = mix(found + ODD)
     for band, high in bands:
         k = difference(2 * high, num, den)
-        n = k + SLACK if k else 1
+        slack = SLACK + k // MORE if k else 1
+        n = k + slack
         part = ((spread >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sums = np.add.reduceat(spread[order], first)
         own = part[first]
-        if n > 1 and n - len(own) >= SLACK:
+        n_empty = n - len(own)
+        if n_empty >= slack:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), own)
             own, sums = np.concatenate([own, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(mix(sums + mix(own + np.uint64(band << 32))))
-    return np.concatenate(out)
+        needs.append(max(1, slack - n_empty))
+        out.append(mix(sums + mix(own + np.uint64(band << 32))) >> np.uint64(64 - SIGNATURE_BITS))
+    return np.concatenate(out), len(out[0]), [needs[0], needs[-1]]
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -85,11 +93,13 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, words) for t in b.column(2).to_pylist()]
-            sigs = [signatures(s, num, den) for s in sets]
+            made = [signatures(s, num, den) for s in sets]
+            sigs = [m[0] for m in made]
+            needs = [pa.array([m[1] for m in made], pa.int32()), *(pa.array([m[2][i] for m in made], pa.int32()) for i in (0, 1))]
             flat = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), lists(flat, np.array(list(map(len, sigs)), np.int64))], ["doc_id", "th", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), lists(flat, np.array(list(map(len, sigs)), np.int64)), *needs], ["doc_id", "th", "n", "node", "sigs", "own", "need", "need_next"])
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n long, node long, sigs array<long>")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n long, node long, sigs array<long>, own int, need int, need_next int")
 
 
 def pair(a: Column, b: Column) -> list[Column]:
@@ -190,13 +200,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     Repeated rows come out each; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    described_, at_described = written(described(docs, words, num, den), "described")
-    rows = described_.select("node", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
-    buckets, at_buckets = written(rows.join(shared, "sig").distinct(), "buckets")
+    described_, _ = written(described(docs, words, num, den), "described")
+    later = F.col("pos") >= F.col("own")
+    rows = described_.select("node", "own", "need", "need_next", F.posexplode("sigs").alias("pos", "sig")).select("sig", "node", later.alias("later"), F.when(later, F.col("need_next")).otherwise(F.col("need")).alias("need"))
+    # Nearly all signatures stand once: they are counted alone and go before rows are shuffled whole.
+    twice, at_twice = written(rows.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"), "twice")
+    met, at_met = written(sieved(rows, "sig", twice).distinct(), "met")
+    shared = met.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
+    common, at_common = written(met.join(shared, "sig"), "common")
+    enough = common.groupBy("node", "later").agg(F.count("*").alias("m"), F.max("need").alias("least")).filter("m >= least").select("node", "later")
+    buckets, at_buckets = written(common.join(enough, ["node", "later"]).select("sig", "node").distinct(), "buckets")
 
     wanted = described_.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", F.coalesce("doc_id", F.lit(-1)).alias("row"), "n")).alias("x")).select("node", "x.*")
-    source = docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("row"), "text")
+    source = sieved(docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("row"), "text"), "th", wanted.select("th"))
     texts, at_texts = written(sketched(source.join(wanted, ["th", "row"]).dropDuplicates(["node"]), words), "texts")
 
     first = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"r{r}") for r in range(REPRESENTATIVES)]
@@ -210,14 +226,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(heads.filter(f"m > {REPRESENTATIVES}").select("sig", "m"), "sig").filter("lo < hi").select("sig", "m")
     rest = placed.join(open_, "sig").join(texts.select("node", "n", "sketch"), "node")
     more, at_more = written(verified(across(rest, num, den), texts, words, num, den), "far")
-    joined, at_joined = components(links.union(more))
+    joined, _ = components(links.union(more))
 
     named = described_.select("doc_id", "node", "n").join(joined, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     full = named.filter("n > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.unionByName(named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    remove(spark, at_buckets, at_texts, at_heads, at_links, *at_roots, at_more)
+    remove(spark, at_twice, at_met, at_common, at_buckets, at_texts, at_heads, at_links, *at_roots, at_more)
     return out
 
 
