@@ -129,12 +129,16 @@ def fit(texts: list[str], langs: list[str], s: Settings) -> Model:
 
 
 def train(docs: DataFrame, s: Settings | None = None) -> Model:
-    """Fit on at most train_docs rows and train_chars characters: those of least hashed id."""
+    """Fit on at most train_docs rows and train_chars characters: those of least hash.
+
+    Hashes alone are ranked, and the bounded list of those picked is broadcast, so no text is moved
+    that isn't used.
+    """
     s = s or Settings()
-    key = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(key.alias("k"), "lang", "text")
-    sample = known.orderBy("k", "lang", "text").limit(s.train_docs)
-    total = F.sum(F.length("text")).over(Window.orderBy("k", "lang", "text").rowsBetween(Window.unboundedPreceding, 0))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.xxhash64("doc_id", "text", F.lit(s.seed)).alias("k"), "lang", "text")
+    picked = known.select("k").orderBy("k").limit(s.train_docs).distinct()
+    sample = known.join(F.broadcast(picked), "k").orderBy("k", "lang").limit(s.train_docs)
+    total = F.sum(F.length("text")).over(Window.orderBy("k", "lang").rowsBetween(Window.unboundedPreceding, 0))
     rows = sample.withColumn("total", total).filter(F.col("total") <= s.train_chars).select("lang", "text").toPandas()
     return fit(rows.text.tolist(), rows.lang.tolist(), s)
 
