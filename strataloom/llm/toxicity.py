@@ -65,10 +65,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
             k = np.unique(x & low)
             seen[k] += seen[k] < 65535
         rows = [x[seen[x & low] >= s.min_docs] for x in rows]
-    names, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_inverse=True)
-    cuts = np.cumsum([0, *map(len, rows)])
+    names = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]))
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    docs = [np.r_[flat[a:b], len(names)] for a, b in zip(cuts, cuts[1:])]  # the last coordinate is the bias
+    docs = [np.r_[np.searchsorted(names, x), len(names)].astype(np.int32) for x in rows]  # the last coordinate is the bias
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
@@ -100,7 +99,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Mode
     joined = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     total = F.sum(F.length("text")).over(Window.orderBy("k", "toxic", "text").rowsBetween(Window.unboundedPreceding, 0))
     rows = joined.orderBy("k", "toxic", "text").limit(s.train_docs).withColumn("total", total).filter(F.col("total") <= s.train_chars).select("toxic", "text").toPandas()
-    return fit([features(t, s.bits) for t in rows.text], rows.toxic.to_numpy(float), s)
+    texts, y = rows.pop("text").tolist()[::-1], rows.toxic.to_numpy(float)
+    found = []
+    while texts:  # each text goes as its features come
+        found.append(features(texts.pop(), s.bits))
+    return fit(found, y, s)
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
