@@ -191,8 +191,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     Equal sets are one node. Nodes meet in buckets of equal signatures. Each is checked first
     against a few representatives of its bucket, which grows with the bucket and not its square, and
-    components are formed. Only buckets that then still hold several components are compared in
-    full, across components alone, in blocks, by sketches that never rule out a link; what passes is
+    components are formed. Only buckets that then still hold several components, and two members or
+    more that aren't representatives (which may be fewer than drawn), are compared in full, across components alone, in blocks, by sketches that never rule out a link; what passes is
     checked by the sets. So no link between components is lost.
 
     A null, empty or blank text has an empty set and is linked with nothing: its component_id is its
@@ -216,14 +216,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     texts, at_texts = written(sketched(source.join(wanted, ["th", "row"]).dropDuplicates(["node"]), words), "texts")
 
     first = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"r{r}") for r in range(REPRESENTATIVES)]
+    representatives = F.array_distinct(F.array(*(f"r{r}" for r in range(REPRESENTATIVES))))
     heads, at_heads = written(buckets.groupBy("sig").agg(F.count("*").alias("m"), *first), "heads")
-    star = buckets.join(heads, "sig").select("node", F.explode(F.array_distinct(F.array(*(f"r{r}" for r in range(REPRESENTATIVES))))).alias("r"))
+    star = buckets.join(heads, "sig").select("node", F.explode(representatives).alias("r"))
     pairs = star.filter("node <> r").select(*pair(F.col("node"), F.col("r"))).distinct()
     links, at_links = written(verified(pairs, texts, words, num, den), "near")
     roots, at_roots = components(links)
 
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(heads.filter(f"m > {REPRESENTATIVES}").select("sig", "m"), "sig").filter("lo < hi").select("sig", "m")
+    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(heads.filter(F.col("m") > F.size(representatives) + 1).select("sig", "m"), "sig").filter("lo < hi").select("sig", "m")
     rest = placed.join(open_, "sig").join(texts.select("node", "n", "sketch"), "node")
     more, at_more = written(verified(across(rest, num, den), texts, words, num, den), "far")
     joined, _ = components(links.union(more))

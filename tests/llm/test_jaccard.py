@@ -91,3 +91,16 @@ def test_odd_rows(odd_docs, no_docs):
     rows = jaccard.jaccard_components(odd_docs).collect()
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 4), (None, 4), (6, 6), (7, 6), (8, 8)], key=str)
     assert jaccard.jaccard_components(no_docs).collect() == []
+
+
+def test_chains_of_three(spark):
+    """b links a and c; where a is in all buckets of b and c, and a bucket's only head, the star never compares b and c."""
+    rows = []
+    for i in range(3000):
+        a = [f"v{i}x{k}" for k in range(22)]
+        b = [*a[:-1], "y"]
+        c = ["z", *b[1:]]
+        one, two, three = (jaccard.signatures(shingles(" ".join(w), 3), 90, 100)[0] for w in (a, b, c))
+        if len(rows) < 600 and np.isin(np.intersect1d(two, three), one).all():
+            rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((a, b, c))]
+    assert len(rows) > 300 and found(spark, rows) == brute(rows)
