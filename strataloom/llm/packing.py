@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, table
 
-WINDOW, END_ID, MAX_OPEN, LEAST_TAIL = 2048, 1, 256, 256
+WINDOW, END_ID = 2048, 1
+#: Bytes of ids in open windows; only memory, as no placement depends on the number of windows.
+OPEN_BYTES = 64 << 20
 CACHE_WORDS = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -30,7 +33,8 @@ class WordTokenizer:
     The byte-level pattern always ends a token before a single space that stands between
     characters other than spaces, so a text's ids are those of its space-led words in turn. Each word
     goes to the library once while it stays in a cache of two generations; texts in which a
-    space meets another or the text's edge go to the library whole.
+    space meets another or the text's edge, or that hold a token added to the vocabulary, go to the
+    library whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -38,7 +42,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         size = self.model.get_vocab_size()
         self.leads = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.young: dict[str, bytes] = {}
@@ -63,7 +67,7 @@ class WordTokenizer:
                     self.young[w] = self.whole(" " + w)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [t.split(" ") if not any(a in t for a in self.added) else ["", t] for t in texts]
         if len(self.young) > self.cache_words:
             self.old, self.young = self.young, {}
         seen = set().union(*(p[1:] for p in split if "" not in p)) if split else set()
@@ -89,17 +93,17 @@ class WordTokenizer:
 class SumOfSquares:
     """Online packer: each remainder goes to the fill level that leaves the least sum of squared level counts.
 
-    counts[h] is the number of open windows filled to level h; a full window closes. Beyond max_open
-    open windows the next piece is cut to fill the fullest of them, so memory is bounded. finish()
-    lays the open windows end to end, the fullest first, and cuts full windows from them; what is
-    left at last is cut at powers of two down to least_tail, and only the rest below that is padded.
+    counts[h] is the number of open windows filled to level h; a full window closes. Where the open
+    windows hold open_bytes of ids, they are laid end to end, the fullest first, and cut into full
+    ones, so memory is bounded. finish() does that too, and cuts what is left at powers of two, so
+    nothing is padded.
     """
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, least_tail: int = LEAST_TAIL):
-        self.window, self.max_open, self.least_tail = window, max_open, least_tail
+    def __init__(self, window: int = WINDOW, open_bytes: int = OPEN_BYTES):
+        self.window, self.open_bytes = window, open_bytes
         self.counts = np.zeros(window + 1, np.int64)
         self.levels: dict[int, list[list]] = {}
-        self.open = 0
+        self.held = 0
         self.sequence = 0
 
     def emit(self, pieces: list) -> Iterator[tuple]:
@@ -120,78 +124,73 @@ class SumOfSquares:
         return int(had[best]) if cost[best] <= 2 * c[size] + 1 else 0
 
     def put(self, piece: tuple, h: int) -> Iterator[tuple]:
-        doc, start, ids, total = piece
         pieces = []
         if h:
             pieces = self.levels[h].pop()
             self.counts[h] -= 1
-            self.open -= 1
+            self.held -= 4 * h
         pieces.append(piece)
-        h += len(ids) // 4
+        h += len(piece[2]) // 4
         if h == self.window:
             yield from self.emit(pieces)
         else:
             self.levels.setdefault(h, []).append(pieces)
             self.counts[h] += 1
-            self.open += 1
+            self.held += 4 * h
 
     def add(self, doc: int | None, ids: bytes) -> Iterator[tuple]:
         total, w = len(ids) // 4, self.window
-        at = 0
-        for at in range(0, total - w + 1, w):
+        whole = total // w * w
+        for at in range(0, whole, w):
             yield from self.emit([(doc, at, ids[4 * at : 4 * (at + w)], total)])
-        at = total // w * w
-        while at < total:
-            size = total - at
-            h = self.level(size)
-            if not h and self.open >= self.max_open:
-                h = int(np.flatnonzero(self.counts)[-1])
-                size = min(size, w - h)
-            yield from self.put((doc, at, ids[4 * at : 4 * (at + size)], total), h)
-            at += size
+        if whole < total:
+            yield from self.put((doc, whole, ids[4 * whole :], total), self.level(total - whole))
+        if self.held > self.open_bytes:
+            yield from self.drained()
+
+    def cut(self, pieces: list, sizes: Iterator[int]) -> Iterator[list]:
+        """The pieces in runs of the given sizes, cut where a run ends; what is left at last comes short."""
+        now, room = [], next(sizes)
+        for doc, start, ids, total in pieces:
+            while ids:
+                part, ids = ids[: 4 * room], ids[4 * room :]
+                now.append((doc, start, part, total))
+                start, room = start + len(part) // 4, room - len(part) // 4
+                if not room:
+                    yield now
+                    now, room = [], next(sizes)
+        if now:
+            yield now
+
+    def drained(self) -> Iterator[tuple]:
+        """Full windows of all open ones laid end to end; the rest is the only window left open."""
+        rest = [p for h in sorted(self.levels, reverse=True) for pieces in self.levels[h] for p in pieces]
+        self.levels, self.held = {}, 0
+        self.counts[:] = 0
+        for pieces in self.cut(rest, repeat(self.window)):
+            h = sum(len(p[2]) // 4 for p in pieces)
+            if h == self.window:
+                yield from self.emit(pieces)
+            else:
+                self.levels, self.held = {h: [pieces]}, 4 * h
+                self.counts[h] = 1
 
     def finish(self) -> Iterator[tuple]:
-        rest = [p for h in sorted(self.levels) for p in self.levels[h]]
-        self.levels, self.open = {}, 0
+        yield from self.drained()
+        for h, (pieces,) in self.levels.items():
+            for part in self.cut(pieces, chain((1 << k for k in range(h.bit_length() - 1, -1, -1) if h >> k & 1), repeat(1))):
+                yield from self.emit(part)
+        self.levels, self.held = {}, 0
         self.counts[:] = 0
-        left: list[tuple] = []
-        for pieces in rest[::-1]:
-            left += pieces
-        fills, done, size = left[::-1], [], 0
-        while fills:
-            doc, start, ids, total = fills.pop()
-            take = min(len(ids) // 4, self.window - size)
-            done.append((doc, start, ids[: 4 * take], total))
-            size += take
-            if take < len(ids) // 4:
-                fills.append((doc, start + take, ids[4 * take :], total))
-            if size == self.window:
-                yield from self.emit(done)
-                done, size = [], 0
-        while done:
-            n = sum(len(p[2]) // 4 for p in done)
-            part = 1 << (n.bit_length() - 1)
-            if part < self.least_tail:
-                part = n
-            now, later, size = [], [], 0
-            for doc, start, ids, total in done:
-                take = min(len(ids) // 4, part - size)
-                size += take
-                if take:
-                    now.append((doc, start, ids[: 4 * take], total))
-                if take < len(ids) // 4:
-                    later.append((doc, start + take, ids[4 * take :], total))
-            yield from self.emit(now)
-            done = later
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, max_open: int) -> Iterator[pa.RecordBatch]:
+def pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
-    tokenizer, packer = _tokenizers[path], SumOfSquares(window, max_open, min(LEAST_TAIL, window))
+    tokenizer, packer = _tokenizers[path], SumOfSquares(window)
     task = TaskContext.get()
     packer.sequence = (task.partitionId() if task else 0) << 40
     end = np.array([END_ID], "<u4").tobytes()
@@ -213,7 +212,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, max_
         yield batch(rows)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
     """One row per piece of a document in a sequence of at most window tokens.
 
     Each input partition packs its own documents in their order, so there is no shuffle and a lost
@@ -222,7 +221,7 @@ def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, path:
     repeated rows are packed each; an empty table gives no row; other columns are ignored.
     """
     path = path or tokenizer_path()
-    return map_arrow(docs.select("doc_id", "text"), lambda it: pack_batches(it, path, window, max_open), SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), lambda it: pack_batches(it, path, window), SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
