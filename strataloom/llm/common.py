@@ -75,15 +75,20 @@ def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
+#: A sieve has so many bits at most; more keys than that would fill it.
 SIEVE_BITS = 25
 
 
-def parted(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:
+def parted(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows whose column may be among keys (a one-column table), and the others, whose column surely isn't.
 
-    A bit map of 2**bits hashed places is broadcast: 2**(bits - 6) rows at most, whatever the input.
-    Beyond about that many keys it lets more through, and the exact join that follows does the rest.
+    A bit map of hashed places is broadcast: 2**(SIEVE_BITS - 6) rows at most, whatever the input. Beyond
+    2**SIEVE_BITS keys there is none, and all rows go to the exact join that follows.
     """
+    n = keys.count()
+    if n > 1 << SIEVE_BITS:
+        return rows, rows.filter("false")
+    bits = min(SIEVE_BITS, max(12, (16 * n).bit_length()))
     place = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     words_ = keys.select(place.alias("place")).select(F.expr("shiftright(place, 6)").alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
@@ -93,9 +98,9 @@ def parted(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS
     return tuple(own.join(F.broadcast(words_), hit, how).select(*rows.columns) for how in ("left_semi", "left_anti"))  # type: ignore[return-value]
 
 
-def sieved(rows: DataFrame, column: str, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+def sieved(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """rows less most of those whose column isn't among keys; none that is goes."""
-    return parted(rows, column, keys, bits)[0]
+    return parted(rows, column, keys)[0]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

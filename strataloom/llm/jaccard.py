@@ -6,19 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ODD, lists, map_arrow, mix, remove, shingles, sieved, table, written
 from .components import components
 
 #: Parts on which similar sets agree at least: these, and one more for every so many elements they may differ in.
 SLACK, MORE = 3, 8
-#: Chance collisions only cost checks, and short signatures take less room in tables and shuffles.
-SIGNATURE_BITS = 48
-SKETCH_WORDS = 16
+#: Fingerprints of signatures have so many bits more than the corpus has signatures, so few meet by chance; that only costs checks.
+SPARE_BITS = 13
+#: A flush of fingerprints: so many, and as many documents as a number of 15 bits can tell apart.
+FLUSH, FLUSH_DOCS = 1 << 21, 1 << 15
+#: Fingerprints of a range, which one reducer holds at a time.
+RANGE = 1 << 20
 BLOCK = 1024
-REPRESENTATIVES = 3
+#: Buckets of so many members at most give their pairs by a join; larger ones are compared in blocks.
+SMALL = 8
+#: Rounds in which a node meets the head that shares most of its buckets, before buckets are compared in full.
+ROUNDS = 3
 
 
 def band_of(size: int) -> tuple[int, int]:
@@ -72,14 +80,20 @@ def signatures(found: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int,
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), own)
             own, sums = np.concatenate([own, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
         needs.append(max(1, slack - n_empty))
-        out.append(mix(sums + mix(own + np.uint64(band << 32))) >> np.uint64(64 - SIGNATURE_BITS))
+        out.append(mix(sums + mix(own + np.uint64(band << 32))))
     return np.concatenate(out), len(out[0]), [needs[0], needs[-1]]
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parities of elements per bit: two sets' sketches differ in no more bits than the sets in elements."""
-    bits = np.bincount((mix(found * ODD) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+    """Parities of elements per bit, eight bits an element or more: two sets' sketches, folded to one length, differ in no more bits than the sets in elements."""
+    bits = 1 << max(9, (8 * len(found) - 1).bit_length())
+    odd = np.bincount((mix(found * ODD) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sk: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as one of fewer words: the parity of each bit's like."""
+    return np.bitwise_xor.reduce(sk.reshape(-1, words)) if len(sk) > words else sk
 
 
 def name_of(found: np.ndarray) -> int:
@@ -87,23 +101,118 @@ def name_of(found: np.ndarray) -> int:
     return int(mix(mix(found ^ ODD).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found)))[0].astype(np.int64)) if len(found) else 0
 
 
-def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, text hash, set size, set name and signatures of every row."""
+def packed(sig: np.ndarray, doc: np.ndarray, low_bytes: int, ranges: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Fingerprints and their documents' numbers as (range, counts, low bytes, numbers), a row per range that has any.
+
+    Sorted fingerprints share their leading 16 bits with many others, so of these only counts are
+    kept; low_bytes bytes of the rest follow as they are.
+    """
+    order = np.argsort(sig, kind="stable")
+    sig, doc = sig[order], doc[order].astype("<u2")
+    counts = np.bincount((sig >> np.uint64(8 * low_bytes)).astype(np.int64), minlength=1 << 16).astype("<u4")
+    low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes]
+    width = (1 << 16) // ranges
+    ends = np.r_[0, np.cumsum(counts.reshape(ranges, width).sum(1, dtype=np.int64))]
+    return [(r, counts[r * width : (r + 1) * width].tobytes(), low[a:e].tobytes(), doc[a:e].tobytes()) for r, (a, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < e]
+
+
+def unpacked(r: int, counts: bytes, low: bytes, doc: bytes, low_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts, "<u4")
+    high = np.repeat(np.arange(r * len(n), (r + 1) * len(n), dtype=np.uint64), n)
+    wide = np.zeros((len(high), 8), np.uint8)
+    wide[:, :low_bytes] = np.frombuffer(low, np.uint8).reshape(-1, low_bytes)
+    return (high << np.uint64(8 * low_bytes)) + wide.view("<u8")[:, 0], np.frombuffer(doc, "<u2")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
-            made = [signatures(s, num, den) for s in sets]
-            sigs = [m[0] for m in made]
-            needs = [pa.array([m[1] for m in made], pa.int32()), *(pa.array([m[2][i] for m in made], pa.int32()) for i in (0, 1))]
-            flat = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), lists(flat, np.array(list(map(len, sigs)), np.int64)), *needs], ["doc_id", "th", "n", "node", "sigs", "own", "need", "need_next"])
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n long, node long, sigs array<long>, own int, need int, need_next int")
+MET = "sig long, row long, doc_id long, th long, n long, node long, need int, need_next int"
 
 
-def pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def met(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of every document its number (row), id, text hash, set size, set name and needs; and (sig, row) of signatures that two or more have.
+
+    Nearly all signatures stand once and never leave the reducer that meets them. Each task sends its
+    signatures as sorted fingerprints in flushes, a few bytes each, dealt by ranges of fingerprints;
+    sets that a flush has twice are sent once. row is the flush's number times 2**16, plus twice the
+    document's; a signature of the next band adds one.
+    """
+    # Chars over 5 bounds words; it sets the fingerprints' length and the ranges' number, not what is found.
+    size = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    total = max(1, size // 5)
+    low_bytes = min(6, max(2, -(-(total.bit_length() + SPARE_BITS - 16) // 8)))
+    ranges = min(1 << 16, 1 << (total // RANGE).bit_length())
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        flush = (task.partitionId() if task else 0) << 24
+        meta: list[tuple] = []
+        sigs: list[np.ndarray] = []
+        own: list[int] = []
+        known: set[int] = set()
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            lengths = list(map(len, sigs))
+            sig = np.concatenate([*sigs, np.zeros(0, np.uint64)]) >> np.uint64(48 - 8 * low_bytes)
+            later = np.arange(len(sig)) - np.repeat(np.cumsum([0, *lengths[:-1]]) if lengths else 0, lengths) >= np.repeat(own, lengths) if lengths else np.zeros(0, bool)
+            doc = 2 * np.repeat(np.arange(len(sigs)), lengths) + later
+            rows = packed(sig, doc, low_bytes, ranges)
+            flat = [pa.array([None] * len(rows) + [[m[i] for m in meta]], pa.list_(pa.int64())) for i in range(6)]
+            blobs = [pa.array([*(r[i] for r in rows), None], pa.binary()) for i in (1, 2, 3)]
+            return pa.RecordBatch.from_arrays([pa.array([*(r[0] for r in rows), flush % ranges], pa.int32()), pa.array([flush] * (len(rows) + 1), pa.int64()), *blobs, *flat], ["range", "flush", "counts", "low", "docs", *names])
+
+        names = ["doc_id", "th", "n", "node", "need", "need_next"]
+        for b in batches:
+            for doc_id, th, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                found = shingles(text, words)
+                node, (sig, split, need) = name_of(found), signatures(found, num, den)
+                meta.append((doc_id, th, len(found), node, *need))
+                if node in known:
+                    sig = sig[:0]
+                known.add(node)
+                sigs.append(sig)
+                own.append(split)
+                held += len(sig)
+                if held >= FLUSH or len(meta) >= FLUSH_DOCS:
+                    yield sent()
+                    meta, sigs, own, known, held, flush = [], [], [], set(), 0, flush + 1
+        if meta:
+            yield sent()
+
+    kinds = "range int, flush long, counts binary, low binary, docs binary, doc_id array<long>, th array<long>, n array<long>, node array<long>, need array<long>, need_next array<long>"
+    flushes = map_arrow(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), first, kinds)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ["sig", "row", *(x.split()[0] for x in MET.split(", ")[2:])]
+        kinds = [pa.int64()] * 6 + [pa.int32()] * 2
+        now, held = -1, []
+
+        def shared() -> Iterator[pa.RecordBatch]:
+            sig, row = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(sig, kind="stable")
+            sig, row = sig[order], row[order]
+            same = sig[1:] == sig[:-1]
+            keep = np.r_[False, same] | np.r_[same, False]
+            sig, row = sig[keep].view(np.int64), row[keep]
+            for a in range(0, len(sig), 1 << 16):
+                n = len(sig[a : a + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + n]), pa.array(row[a : a + n]), *(pa.nulls(n, t) for t in kinds[2:])], fields)
+
+        for b in batches:
+            for r, flush, counts, low, doc, *meta in zip(*(b.column(i).to_pylist() for i in range(11))):
+                if r != now:
+                    if held:
+                        yield from shared()
+                    now, held = r, []
+                if counts is None:
+                    n = len(meta[0])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array((flush << 16) + 2 * np.arange(n)), *(pa.array(m, t) for m, t in zip(meta, kinds[2:]))], fields)
+                else:
+                    sig, doc = unpacked(r, counts, low, doc, low_bytes)
+                    held.append((sig, (flush << 16) + doc.astype(np.int64)))
+        if held:
+            yield from shared()
+
+    return map_arrow(flushes.repartition("range").sortWithinPartitions("range"), second, MET)
 
 
 def sketched(texts: DataFrame, words: int) -> DataFrame:
@@ -111,132 +220,249 @@ def sketched(texts: DataFrame, words: int) -> DataFrame:
         for b in batches:
             found = [sketch(shingles(t, words)) for t in b.column(2).to_pylist()]
             flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists(flat, np.full(len(found), SKETCH_WORDS))], ["node", "n", "text", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists(flat, np.array(list(map(len, found)), np.int64))], ["node", "n", "text", "sketch"])
 
     return map_arrow(texts.select("node", "n", "text"), run, "node long, n long, text string, sketch array<long>")
 
 
+def near(pairs: DataFrame, small: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (head, node) whose sizes and sketches (small: node, n, sketch) allow a link."""
+    one = small.select(F.col("node").alias("head"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = small.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(one.select("head", "na"), "head").join(two.select("node", "nb"), "node").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    both = both.select("head", "node").join(one, "head").join(two, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            (x, at_x), (y, at_y) = (words_of(b.column(i)) for i in (4, 5))
+            keep = []
+            for k in range(len(n)):
+                p, q = x[at_x[k] : at_x[k + 1]], y[at_y[k] : at_y[k + 1]]
+                w = min(len(p), len(q))
+                keep.append(int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) * (den + num) <= n[k] * (den - num))
+            kept = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["head", "node"])
+
+    return map_arrow(both.select("head", "node", "na", "nb", "sa", "sb"), run, "head long, node long")
+
+
+def words_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values as one array, and where each row's begin and end."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False).view(np.uint64), at
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have den * intersection >= num * union, by the sets themselves.
+    """pairs (head, node) with linked: whether their sets have den * intersection >= num * union.
 
-    Sizes and sketches rule most others out before a text is read.
+    Sketches rule out most of the others; what is left is checked by the sets themselves. A head's
+    text goes to the group of its pairs once, and each other text once a pair. A head with many pairs
+    is salted, so no group grows with it.
     """
-    small = texts.select("node", "n", "sketch")
-    one = small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(one, "a").join(two, "b").filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    spark = pairs.sparkSession
+    pairs, at_pairs = written(pairs, "pairs")
+    kept, at_kept = written(near(pairs, texts.select("node", "n", "sketch"), num, den), "kept")
+    counted = kept.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    full = texts.select("node", "text")
+    heads = counted.join(full.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), "text")
+    members = kept.join(counted, "head").select("head", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "node").join(full, "node").select("head", "salt", "node", "text")
+    dealt = heads.unionByName(members).repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("node").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.zeros(0, np.uint64)
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = shingles(x, words), shingles(y, words)
+            out = []
+            for head, node, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                t = shingles(text, words)
+                if node is None:
+                    s = t
+                    continue
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(den * both >= num * (len(s) + len(t) - both))
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+                if den * both >= num * (len(s) + len(t) - both):
+                    out.append((head, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["head", "node"])
 
-    return map_arrow(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
+    links, at_links = written(map_arrow(dealt.select("head", "node", "text"), run, "head long, node long"), "checked")
+    out, _ = written(pairs.join(links.withColumn("linked", F.lit(True)), ["head", "node"], "left").select("head", "node", F.coalesce("linked", F.lit(False)).alias("linked")), "verdicts")
+    remove(spark, at_pairs, at_kept, at_links)
+    return out
 
 
-def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in a bucket whose sketches allow a link.
+def across(rows: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (head, node) of different components in a bucket that weren't tried.
 
-    rows: sig, m (the bucket's size), node, root, n, sketch. A bucket of more than BLOCK members is
-    dealt to blocks, and each pair of blocks is a task's group of its own, so no group grows with
-    the bucket. Only pairs that pass come out.
+    rows: sig, m (the bucket's size), node, root, n, sketch. Of small buckets all such pairs come out,
+    a few a member. A larger one is compared by sketches in blocks of BLOCK members, each pair of
+    blocks a task's group of its own, so no group grows with the bucket, and only pairs that may be
+    linked come out.
     """
+    few = rows.filter(F.col("m") <= SMALL).select("sig", "node", "root")
+    other = few.select("sig", F.col("node").alias("far"), F.col("root").alias("far_root"))
+    joined = few.join(other, "sig").filter("node > far and root <> far_root").select(F.col("far").alias("head"), "node").distinct()
+    large = rows.filter(F.col("m") > SMALL)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).select("sig", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = large.withColumn("blocks", blocks).withColumn("own", own).select("sig", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = spread.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch")
     dealt = keyed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        own, node, root, n = (np.array([g[k] for g in group]) for k in range(4))
-        sk = np.array([g[4] for g in group], np.int64).view(np.uint64)
-        out = []
+    def compare(own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: list[np.ndarray]) -> Iterator[np.ndarray]:
         two = own.min() != own.max()
-        for x in range(len(group) - 1):
-            near = np.flatnonzero((root[x + 1 :] != root[x]) & ((own[x + 1 :] != own[x]) | (not two))) + x + 1
-            if len(near):
-                apart = np.bitwise_count(sk[near] ^ sk[x]).sum(1, dtype=np.int64)
-                for y in near[apart * (den + num) <= (n[near] + n[x]) * (den - num)].tolist():
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-        return out
+        length = np.array(list(map(len, sk)))
+        for w in np.unique(length).tolist():
+            more = np.flatnonzero((length >= w) & (length <= 4 * w))  # of sizes further apart none are similar
+            flat = np.stack([folded(sk[y], w) for y in more])
+            for x in np.flatnonzero(length == w).tolist():
+                y = more[(root[more] != root[x]) & ((length[more] > w) | (more > x)) & ((own[more] != own[x]) | (not two))]
+                y = y[np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num]
+                if len(y):
+                    apart = np.bitwise_count(flat[np.searchsorted(more, y)] ^ sk[x]).sum(1, dtype=np.int64)
+                    y = y[apart * (den + num) <= (n[y] + n[x]) * (den - num)]
+                    yield np.stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        held: pa.Table | None = None
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            out = [np.zeros((2, 0), np.int64)]
+            if t.num_rows:
+                b = t.combine_chunks().to_batches()[0]
+                key = [b.column(c).to_numpy() for c in range(3)]
+                cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
+                own, node, root, n = (b.column(c).to_numpy() for c in range(3, 7))
+                flat, at = words_of(b.column(7))
+                for a, e in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
+                    if key[1][a] == key[2][a] or own[a:e].min() != own[a:e].max():
+                        out += compare(own[a:e], node[a:e], root[a:e], n[a:e], [flat[at[k] : at[k + 1]] for k in range(a, e)])
+            found = np.unique(np.concatenate(out, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["head", "node"])
+
         for b in batches:
-            out = []
-            for sig, i, j, *row in zip(*(b.column(c).to_pylist() for c in range(8))):
-                if (sig, i, j) != key:
-                    out += compare(group) if len(group) > 1 and (key[1] == key[2] or len({g[0] for g in group}) > 1) else []
-                    key, group = (sig, i, j), []
-                group.append(row)
-            out = sorted(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        if len(group) > 1 and (key[1] == key[2] or len({g[0] for g in group}) > 1):
-            out = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            same = np.logical_and.reduce([(k := t.column(c).to_numpy()) == k[-1] for c in range(3)]) if t.num_rows else np.zeros(0, bool)
+            last = int(np.argmax(same)) if len(same) else 0  # the open group waits
+            yield done(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield done(held)
 
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    compared = map_arrow(dealt, run, "head long, node long")
+    return joined.union(compared).distinct().join(tried.select("head", "node"), ["head", "node"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), and th, the text's xxhash64, and root, its component's name.
+
+    Equal sets are one node. Nodes meet in buckets of equal signatures. A node that shares fewer of a
+    band's signatures with others than similar sets must share has no link there; and of those it
+    shares, all but the last need - 1 in an order that puts large buckets last will do, since similar
+    sets then still share one.
 
-    Equal sets are one node. Nodes meet in buckets of equal signatures. Each is checked first
-    against a few representatives of its bucket, which grows with the bucket and not its square, and
-    components are formed. Only buckets that then still hold several components, and two members or
-    more that aren't representatives (which may be fewer than drawn), are compared in full, across components alone, in blocks, by sketches that never rule out a link; what passes is
-    checked by the sets. So no link between components is lost.
+    In each of a few rounds every bucket with several components names a head, and each node is
+    checked against the head that it shares most buckets with; components grow between rounds. Then
+    buckets that still hold several components are compared in full, across components alone, by
+    sketches that never rule out a link. What passes is checked by the sets. So no link between
+    components is lost.
 
     A null, empty or blank text has an empty set and is linked with nothing: its component_id is its
     own doc_id. Rows with a null doc_id take part; component_id is the least id that isn't null.
     Repeated rows come out each; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    described_, _ = written(described(docs, words, num, den), "described")
-    later = F.col("pos") >= F.col("own")
-    rows = described_.select("node", "own", "need", "need_next", F.posexplode("sigs").alias("pos", "sig")).select("sig", "node", later.alias("later"), F.when(later, F.col("need_next")).otherwise(F.col("need")).alias("need"))
-    # Nearly all signatures stand once: they are counted alone and go before rows are shuffled whole.
-    twice, at_twice = written(rows.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"), "twice")
-    met, at_met = written(sieved(rows, "sig", twice).distinct(), "met")
-    shared = met.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
-    common, at_common = written(met.join(shared, "sig"), "common")
-    enough = common.groupBy("node", "later").agg(F.count("*").alias("m"), F.max("need").alias("least")).filter("m >= least").select("node", "later")
-    buckets, at_buckets = written(common.join(enough, ["node", "later"]).select("sig", "node").distinct(), "buckets")
-
-    wanted = described_.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", F.coalesce("doc_id", F.lit(-1)).alias("row"), "n")).alias("x")).select("node", "x.*")
-    source = sieved(docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("row"), "text"), "th", wanted.select("th"))
-    texts, at_texts = written(sketched(source.join(wanted, ["th", "row"]).dropDuplicates(["node"]), words), "texts")
-
-    first = [F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"r{r}") for r in range(REPRESENTATIVES)]
-    representatives = F.array_distinct(F.array(*(f"r{r}" for r in range(REPRESENTATIVES))))
-    heads, at_heads = written(buckets.groupBy("sig").agg(F.count("*").alias("m"), *first), "heads")
-    star = buckets.join(heads, "sig").select("node", F.explode(representatives).alias("r"))
-    pairs = star.filter("node <> r").select(*pair(F.col("node"), F.col("r"))).distinct()
-    links, at_links = written(verified(pairs, texts, words, num, den), "near")
-    roots, at_roots = components(links)
-
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(heads.filter(F.col("m") > F.size(representatives) + 1).select("sig", "m"), "sig").filter("lo < hi").select("sig", "m")
-    rest = placed.join(open_, "sig").join(texts.select("node", "n", "sketch"), "node")
-    more, at_more = written(verified(across(rest, num, den), texts, words, num, den), "far")
-    joined, _ = components(links.union(more))
-
-    named = described_.select("doc_id", "node", "n").join(joined, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    full = named.filter("n > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionByName(named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    remove(spark, at_twice, at_met, at_common, at_buckets, at_texts, at_heads, at_links, *at_roots, at_more)
+    all_, at_all = written(met(docs, words, num, den), "met")
+    meta = all_.filter("n is not null").drop("sig")
+    pairs = all_.filter("n is null").select("sig", "row")
+    later = F.col("row").bitwiseAND(F.lit(1)) == 1
+    place = F.col("row").bitwiseAND(F.lit(-2))
+    seen = pairs.select("sig", later.alias("later"), place.alias("row")).join(meta.select("row", "node", "need", "need_next"), "row")
+    seen = seen.select("sig", "node", "later", F.when(F.col("later"), F.col("need_next")).otherwise(F.col("need")).alias("need")).distinct()
+    seen, at_seen = written(seen, "seen")
+    held = seen.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
+    of_node = Window.partitionBy("node", "later")
+    ranked = seen.join(held, "sig").withColumn("c", F.count("*").over(of_node)).withColumn("place", F.row_number().over(of_node.orderBy("m", "sig")))
+    # A window's rows are one set's signatures.
+    ranked = ranked.filter("place <= c - need + 1").select("sig", "node").distinct()
+    ranked, at_ranked = written(ranked, "ranked")
+    # Buckets of the same members are one, which counts as many.
+    names = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    of_sig = ranked.groupBy("sig").agg(F.count("*").alias("m"), *names).filter("m > 1")
+    unlike = of_sig.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight")
+    buckets, at_buckets = written(ranked.join(unlike, "sig"), "buckets")
+    remove(spark, at_seen, at_ranked)
+
+    wanted = meta.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", F.coalesce("doc_id", F.lit(-1)).alias("id"), "n")).alias("x")).select("node", "x.*")
+    wanted, at_wanted = written(wanted, "wanted")
+    source = sieved(docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), "text"), "th", wanted.select("th"))
+    texts, at_texts = written(sketched(source.join(wanted, ["th", "id"]).dropDuplicates(["node"]), words), "texts")
+    remove(spark, at_wanted)
+
+    found = Found(spark)
+
+    def opened() -> DataFrame:
+        placed = found.placed(buckets)
+        several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("sig", "m")
+        return placed.join(several, "sig")
+
+    for r in range(ROUNDS):
+        live, at_live = written(opened(), "open")
+        head = live.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(r))).alias("h"))
+        ask = live.join(head, "sig").filter("root <> h.root").groupBy("node", F.col("h.node").alias("head")).agg(F.sum("weight").alias("m"))
+        ask = ask.withColumn("lo", F.least("head", "node")).withColumn("hi", F.greatest("head", "node"))
+        ask = ask.join(found.tried.select(F.col("head").alias("lo"), F.col("node").alias("hi")), ["lo", "hi"], "left_anti")
+        one = ask.groupBy("node").agg(F.max_by("head", F.struct("m", "head")).alias("head")).select("head", "node")
+        found.add(verified(one, texts, words, num, den))
+        remove(spark, at_live)
+    rest = opened().join(texts.select("node", "n", "sketch"), "node")
+    found.add(verified(across(rest, found.tried, num, den), texts, words, num, den))
+    remove(spark, at_buckets, at_texts)
+
+    named = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = found.placed(named)
+    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_node = rooted.join(classes, "root").select("node", "root", "component_id")
+    rows = meta.select("doc_id", "th", "n", "node")
+    full = rows.filter("n > 0").join(per_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", "root")
+    lone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th", F.lit(None).cast("long").alias("root"))
+    out, _ = written(full.unionByName(lone), "classes")
+    remove(spark, at_all, *found.paths)
     return out
 
 
+class Found:
+    """What rounds of checks have found: roots of linked nodes, and the pairs that were tried, each ordered."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.roots = spark.createDataFrame([], "node long, root long")
+        self.tried = spark.createDataFrame([], "head long, node long")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with the root of their node."""
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def add(self, checked: DataFrame) -> None:
+        """Join components by verified pairs (head, node, linked)."""
+        stale = self.paths
+        links = checked.filter("linked").select(F.col("head").alias("node"), F.col("node").alias("other"))
+        links = self.placed(links).select(F.col("root").alias("a"), F.col("other").alias("node"))
+        links = self.placed(links).select("a", F.col("root").alias("b"))
+        if not links.isEmpty():
+            joined, at_joined = components(links)
+            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            old = self.roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            new = joined.join(self.roots.select("node"), "node", "left_anti")
+            roots, at_roots = written(old.unionByName(new), "roots")
+            remove(self.spark, *at_joined)
+        else:
+            roots, at_roots = written(self.roots, "roots")
+        # Only refused pairs are kept: ends of links are in one component.
+        refused = checked.filter("not linked").select(F.least("head", "node").alias("head"), F.greatest("head", "node").alias("node"))
+        tried, at_tried = written(self.tried.unionByName(refused), "tried")
+        remove(self.spark, *stale)
+        self.roots, self.tried, self.paths = roots, tried, [at_roots, at_tried]
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("th", "root")
