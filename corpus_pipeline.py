@@ -24,20 +24,23 @@ def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links of five-word shingles at Jaccard 0.8: that of least id.
 
-    Documents with an empty set are linked with nothing and stay. Of repeated rows one stays. Rows
-    with a null id can't be told apart and stay.
+    Documents with an empty set are linked with nothing and stay. Of repeated rows one stays, and so
+    of rows that share that least id in one component. Rows with a null id can't be told apart and
+    stay.
     """
     columns = docs.columns
-    found, _ = written(jaccard.jaccard_components(docs, words=5, num=80, den=100), "near")
-    named = found.filter("doc_id is not null")
-    per = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    found = jaccard.jaccard_components(docs, words=5, num=80, den=100)
+    named = found.filter("doc_id is not null and n_shingles > 0")
+    name = F.xxhash64("doc_id", "th").alias("__row")
+    stays = named.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*").select(name).distinct()
+    rows = named.select(name).groupBy("__row").agg(F.count("*").alias("n"))
     # Documents that surely stay aren't moved: the others are those to drop and repeated rows.
-    touched = per.filter("n > 1 or not stays")
-    some, clear = parted(docs, "doc_id", touched.select("doc_id"))
-    stays = per.filter("stays").select("doc_id")
-    kept = some.join(stays, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    nameless = some.filter("doc_id is null").select(*columns)
-    return clear.select(*columns).unionByName(kept).unionByName(nameless)
+    judged = rows.join(stays.withColumn("stays", F.lit(True)), "__row", "left").filter("n > 1 or stays is null")
+    touched, _ = written(judged.select("__row", F.coalesce("stays", F.lit(False)).alias("stays")), "touched")
+    some, clear = parted(docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64("text"))), "__row", touched.select("__row"))
+    others = some.join(touched, "__row", "left_anti").select(*columns)
+    kept = some.join(touched.filter("stays"), "__row", "left_semi").dropDuplicates(["__row"]).select(*columns)
+    return clear.select(*columns).unionByName(others).unionByName(kept)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
