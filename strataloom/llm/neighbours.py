@@ -17,19 +17,21 @@ from .common import map_arrow, remove, table, written
 
 @dataclass(frozen=True)
 class Settings:
-    """confidence bounds the share of true neighbours that a stopped search may not have met.
+    """dims: coordinates of the projection. confidence bounds the share of true neighbours that a stopped search has met.
 
     block_values bounds a block's numbers, query_block the queries that meet a block in one task,
-    sample the rows that place the outer cells, depth the outer cells' number as a power of two.
+    sample the rows that place the outer cells (16 to a cell). shells: norms of a shell differ by
+    less than a factor of 2**(1/shells). step: by how much a search widens at a time.
     """
 
-    dims: int = 12
-    confidence: float = 0.98
-    leaf: int = 256
+    dims: int = 32
+    confidence: float = 0.92
+    leaf: int = 64
     block_values: int = 1 << 20
     query_block: int = 8192
-    sample: int = 8192
-    depth: int = 12
+    sample: int = 1 << 16
+    shells: int = 4
+    step: float = 1.12
     seed: int = 3
 
 
@@ -50,23 +52,40 @@ def quantile(p: float, m: int) -> float:
     return high
 
 
+def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and the logarithms (base 2) of their lengths; no square overflows."""
+    top = np.abs(v).max(1)
+    w = v / top[:, None]
+    length = np.sqrt((w * w).sum(1))
+    return w / length[:, None], np.log2(top) + np.log2(length)
+
+
 @dataclass(frozen=True)
 class Space:
     """How vectors of one length are projected, and the outer kd-tree's splits in heap order.
 
-    Inner products become distances by one more coordinate, sqrt(top - |x|^2), which is 0 for a
-    query: |x'-q'|^2 = top + |q|^2 - 2xq. The projection is Gaussian, which is 2-stable: a projected
-    squared distance is the true one times a chi-square variable.
+    Rows are dealt to shells by length. With t the upper length of a row's shell, x/t gets one more
+    coordinate that makes its length 1, and a query of length 1 gets a 0, so inner products become
+    distances: |x'-q'|^2 = 2 - 2xq/t. The projection is Gaussian, which is 2-stable, so a projected
+    squared distance is the true one times a chi-square variable; its columns are orthogonal, which
+    makes it vary less than that. Vectors no longer than dims are kept as they are; then limit is 1,
+    and the search exact.
     """
 
-    top: float
     matrix: np.ndarray
+    limit: float
+    shells: int
     axis: np.ndarray
     cut: np.ndarray
 
-    def project(self, v: np.ndarray, query: bool) -> np.ndarray:
-        extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, self.top - (v * v).sum(1)))
-        return v @ self.matrix[:-1] + extra[:, None] * self.matrix[-1]
+    def shell(self, logs: np.ndarray) -> np.ndarray:
+        return np.floor(logs * self.shells).astype(np.int64)
+
+    def padded(self, unit: np.ndarray, logs: np.ndarray, shell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows over their shell's t, and their projections."""
+        size = np.minimum(1.0, np.exp2(logs - (shell + 1) / self.shells))
+        x = unit * size[:, None]
+        return x, x @ self.matrix[:-1] + np.sqrt(np.maximum(0, 1 - size * size))[:, None] * self.matrix[-1]
 
     def cell(self, p: np.ndarray) -> np.ndarray:
         at = np.zeros(len(p), np.int64)
@@ -90,18 +109,24 @@ def gap(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (d * d).sum(2)
 
 
-def plan(top: float, dim: int, sample: np.ndarray, depth: int, s: Settings) -> Space:
-    matrix = np.random.default_rng(s.seed + dim).normal(size=(dim + 1, s.dims))
-    bare = Space(top, matrix, np.zeros(0, np.int64), np.zeros(0))
+def plan(dim: int, sample: np.ndarray, depth: int, s: Settings) -> Space:
+    if dim < s.dims:
+        matrix, limit = np.eye(dim + 1), 1 + 1e-9
+    else:
+        matrix = np.linalg.qr(np.random.default_rng(s.seed + dim).normal(size=(dim + 1, s.dims)))[0] * math.sqrt(dim + 1)
+        limit = quantile(s.confidence, s.dims)
     axis, cut = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
-    groups = {0: bare.project(sample, False)}
-    for i in range(len(axis)):
-        p = groups.pop(i)
-        axis[i] = int(np.argmax(p.var(0))) if len(p) else 0
-        cut[i] = np.median(p[:, axis[i]]) if len(p) else 0.0
-        right = p[:, axis[i]] > cut[i]
-        groups[2 * i + 1], groups[2 * i + 2] = p[~right], p[right]
-    return Space(top, matrix, axis, cut)
+    bare = Space(matrix, limit, s.shells, axis, cut)
+    if depth:
+        unit, logs = scaled(sample)
+        groups = {0: bare.padded(unit, logs, bare.shell(logs))[1]}
+        for i in range(len(axis)):
+            p = groups.pop(i)
+            axis[i] = int(np.argmax(p.var(0))) if len(p) else 0
+            cut[i] = np.median(p[:, axis[i]]) if len(p) else 0.0
+            right = p[:, axis[i]] > cut[i]
+            groups[2 * i + 1], groups[2 * i + 2] = p[~right], p[right]
+    return bare
 
 
 class Tree:
@@ -123,40 +148,60 @@ class Tree:
         self.high = np.stack([p[r].max(0) for r in runs])
 
 
-def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qid: np.ndarray, q: np.ndarray, qp: np.ndarray, known: np.ndarray, top: float, k: int, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query its k best of a block, as (query ids, ids, scores).
+def search(ids: np.ndarray, v: np.ndarray, qid: np.ndarray, q: np.ndarray, known: np.ndarray, space: Space, shell: int, k: int, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each query its k best of a block of one shell: (query's place, ids, scores, rows verified).
 
-    Leaves come in order of projected distance. The search stops when the next leaf is so far that
-    a row at the k-th best true distance would, with the asked confidence, have come before.
-    known is the k-th best score from elsewhere, or -inf.
+    Rows come in order of projected distance: leaves of the kd-tree are opened as a radius reaches
+    them, and rows within it are verified by their true inner products. The search stops when the
+    radius is so large that a row at the k-th best true distance would, with the asked confidence,
+    have come before. known is the k-th best score from elsewhere, or -inf.
     """
+    unit, logs = scaled(v)
+    x, p = space.padded(unit, logs, np.full(len(v), shell))
     tree = Tree(p, s.leaf)
-    ids, v = ids[tree.order], np.ascontiguousarray(v[tree.order])
-    limit = quantile(s.confidence, s.dims)
-    norms = (q * q).sum(1)
-    for a in range(0, len(q), 512):
-        bound = gap(qp[a : a + 512], tree.low, tree.high)
-        visit = np.argsort(bound, axis=1)
-        for i in range(len(bound)):
-            x, floor = a + i, known[a + i]
-            rows, scores = np.zeros(0, np.int64), np.zeros(0)
-            for n, leaf in enumerate(visit[i].tolist()):
-                if bound[i, leaf] >= limit * max(0.0, top + norms[x] - 2 * floor):
-                    break
-                lo, hi = tree.starts[leaf], tree.starts[leaf + 1]
-                got = v[lo:hi] @ q[x]
-                near = np.flatnonzero((got >= floor - 1e-9) & (ids[lo:hi] != qid[x]))
+    ids, v, x, p = ids[tree.order], v[tree.order], np.ascontiguousarray(x[tree.order]), np.ascontiguousarray(p[tree.order])
+    sizes = np.diff(tree.starts)
+    asked, logs = scaled(q)
+    with np.errstate(over="ignore"):
+        floors = known * np.exp2(-(logs + (shell + 1) / space.shells))
+    qp = asked @ space.matrix[:-1]
+    for a in range(0, len(q), 256):
+        gaps = gap(qp[a : a + 256], tree.low, tree.high)
+        for i, bound in enumerate(gaps, a):
+            floor = max(-1.0, floors[i])
+            if floor > 1:
+                continue
+            far = np.full(len(v), np.inf)
+            opened = np.zeros(len(bound), bool)
+            rows, got, read, before = np.zeros(0, np.int64), np.zeros(0), 0, -1.0
+            radius = float(np.partition(bound, min(1, len(bound) - 1))[min(1, len(bound) - 1)])
+            while True:
+                last = space.limit * (2 - 2 * floor)
+                radius = min(radius, last)
+                new = (bound <= radius) & ~opened
+                if new.any():
+                    opened |= new
+                    near = np.flatnonzero(np.repeat(new, sizes))
+                    d = p[near] - qp[i]
+                    far[near] = np.einsum("ij,ij->i", d, d)
+                near = np.flatnonzero((far <= radius) & (far > before))
+                near = near[ids[near] != qid[i]]
+                read += len(near)
                 if len(near):
-                    rows, scores = np.r_[rows, near + lo], np.r_[scores, got[near]]
-                    if len(rows) > k:
-                        best = np.partition(scores, len(scores) - k)[len(scores) - k]
-                        floor = max(floor, best)
-                        keep = scores >= floor - 1e-9
-                        rows, scores = rows[keep], scores[keep]
-            if len(rows):
-                exact = (v[rows] * q[x]).sum(1)  # one order of summation, so equal vectors tie
-                best = np.lexsort((ids[rows], -exact))[:k]
-                yield np.full(len(best), qid[x]), ids[rows[best]], exact[best]
+                    t = x[near] @ asked[i]
+                    rows, got = np.concatenate([rows, near]), np.concatenate([got, t])
+                    if len(got) > k:
+                        floor = max(floor, np.partition(got, len(got) - k)[len(got) - k])
+                        keep = got >= floor - 1e-9
+                        rows, got = rows[keep], got[keep]
+                before = radius
+                if radius >= space.limit * (2 - 2 * floor) * (1 - 1e-12):
+                    break
+                radius = max(radius * s.step, 1e-3)
+            rows = rows[got >= floors[i] - 1e-9]
+            exact = (v[rows] * q[i]).sum(1)  # one order of summation, so equal vectors tie
+            best = np.lexsort((ids[rows], -exact))[:k]
+            yield i, ids[rows[best]], exact[best], read
 
 
 def stacked(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -170,9 +215,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, s: Settings | N
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
     with a null vec_id; vectors meet those of their own length only. Rows that share a query's
     vec_id aren't its candidates; of rows that share a vec_id the best counts. An outer kd-tree,
-    placed on a bounded sample, deals every row to cells, and large cells are salted into blocks of
-    bounded size, so copies of one vector don't fill a task. Each query searches its own cell
-    first; its k-th best there lets the stopping test rule out whole cells.
+    placed on a bounded sample, deals every row to cells, a shell of lengths apart from the next, and
+    large cells are salted into blocks of bounded size, so copies of one vector don't fill a task.
+    Each query searches a cell of its own first; its k-th best there lets the stopping test rule out
+    whole cells. The driver holds a row per cell, which is one per block of rows or shell.
     """
     s = s or Settings()
     spark = vectors.sparkSession
@@ -180,16 +226,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, s: Settings | N
     def clean(df: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
-        df = df.filter(F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))))
-        return df.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).filter("norm > 0")
+        df = df.filter(F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists("v", lambda x: x != 0))
+        return df.withColumn("dim", F.size("v"))
 
     rows, asked = clean(vectors), clean(queries).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("x")).select("vec_id", "x.*")
     spaces: dict[int, Space] = {}
-    for r in rows.groupBy("dim").agg(F.max("norm").alias("top"), F.count("*").alias("n")).collect():
+    for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect():
         block = max(1024, s.block_values // r["dim"])
-        depth = min(s.depth, max(0, math.ceil(math.log2(r["n"] / block)))) if r["n"] > block else 0
-        sample = np.array([x["v"] for x in rows.filter(F.col("dim") == r["dim"]).select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(s.seed))).limit(min(s.sample, max(1, s.block_values // r["dim"]))).select("v").collect()]) if depth else np.zeros((0, r["dim"]))
-        spaces[r["dim"]] = plan(r["top"], r["dim"], sample, depth, s)
+        depth = max(0, math.ceil(math.log2(r["n"] / block))) if r["n"] > block else 0
+        depth = min(depth, int(math.log2(s.sample)) - 4)
+        sample = np.zeros((0, r["dim"]))
+        if depth:
+            found = rows.filter(F.col("dim") == r["dim"]).select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(s.seed))).limit(16 << depth)
+            sample = np.stack(found.select("v").toPandas()["v"].to_numpy())
+        spaces[r["dim"]] = plan(r["dim"], sample, depth, s)
     shared = spark.sparkContext.broadcast(spaces)
     if not spaces:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -198,76 +248,94 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, s: Settings | N
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 dims = b.column(2).to_numpy()
-                cells = np.zeros(b.num_rows, np.int64)
+                cells, shells = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
                 for d in np.unique(dims).tolist():
                     own = np.flatnonzero(dims == d)
-                    if d in shared.value:
-                        v = np.array(b.column(1).take(pa.array(own)).to_pylist())
-                        cells[own] = shared.value[d].cell(shared.value[d].project(v, query))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells)], ["vec_id", "v", "dim", "cell"])
+                    if space := shared.value.get(d):
+                        v = b.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d)
+                        unit, logs = scaled(v)
+                        shells[own] = space.shell(logs)
+                        cells[own] = space.cell(unit @ space.matrix[:-1] if query else space.padded(unit, logs, shells[own])[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(shells), pa.array(cells)], ["vec_id", "v", "dim", "shell", "cell"])
 
-        return map_arrow(df.select("vec_id", "v", "dim"), run, "vec_id long, v array<double>, dim int, cell long")
+        return map_arrow(df.select("vec_id", "v", "dim"), run, "vec_id long, v array<double>, dim int, shell long, cell long")
 
     data, at_data = written(placed(rows, False), "vectors")
+    ask, at_ask = written(placed(asked, True).drop("shell"), "queries")
     block = F.greatest(F.lit(1024), F.floor(F.lit(s.block_values) / F.col("dim")))
-    cells = data.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / block)).select("dim", "cell", "salts")  # 2**depth rows a length at most
-    ask, at_ask = written(placed(asked, True), "queries")
+    cells = data.groupBy("dim", "shell", "cell").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / block)).select("dim", "shell", "cell", "salts")
+    cells, at_cells = written(cells, "cells")
+    there: dict[int, list[tuple[int, int]]] = {}
+    for r in cells.collect():
+        there.setdefault(r["dim"], []).append((r["shell"], r["cell"]))
+    directory = spark.sparkContext.broadcast({d: np.array(sorted(x, reverse=True), np.int64) for d, x in there.items()})
+    keys = ["dim", "shell", "cell"]
 
     def met(wanted: DataFrame) -> DataFrame:
-        """Candidates from each query's wanted cells: wanted has vec_id, v, dim, cell, known."""
-        counted = wanted.groupBy("dim", "cell").agg(F.ceil(F.count("*") / s.query_block).alias("parts"))
-        shape = F.broadcast(cells.join(counted, ["dim", "cell"]))
-        left = data.join(shape, ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("salts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        right = wanted.join(shape, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-        keys = ["dim", "cell", "salt", "part"]
+        """Candidates from each query's wanted cells: wanted has vec_id, v, dim, shell, cell, known."""
+        counted = wanted.groupBy(*keys).agg(F.ceil(F.count("*") / s.query_block).alias("parts"))
+        shape = F.broadcast(cells.join(counted, keys))
+        left = data.join(shape, keys).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("salts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        right = wanted.join(shape, keys).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        group = [*keys, "salt", "part"]
 
         def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-            empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            parts = [empty]
+            parts: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if a.num_rows and b.num_rows:
-                space = shared.value[key[0].as_py()]
                 v, q = stacked(a["v"], a.num_rows), stacked(b["v"], b.num_rows)
-                ids = a["vec_id"].to_numpy()
+                ids, qid = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
                 if len(np.unique(ids)) < len(ids):  # repeated rows count once
                     order = np.lexsort((*v.T, ids))
                     differs = (ids[order][1:] != ids[order][:-1]) | (v[order][1:] != v[order][:-1]).any(1)
                     rows = np.sort(order[np.r_[True, differs]])
                     ids, v = ids[rows], v[rows]
-                parts += search(ids, v, space.project(v, False), b["vec_id"].to_numpy(), q, space.project(q, True), b["known"].to_numpy(), space.top, k, s)
+                found = search(ids, v, qid, q, b["known"].to_numpy(), shared.value[key[0].as_py()], key[1].as_py(), k, s)
+                parts += ((np.full(len(x), qid[i]), x, score) for i, x, score, _ in found)
             return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-        return left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v", "known").groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+        return left.select(*group, "vec_id", "v").groupBy(*group).cogroup(right.select(*group, "vec_id", "v", "known").groupBy(*group)).applyInArrow(run, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
-    home, at_home = written(best(met(ask.withColumn("known", F.lit(float("-inf"))))), "home")
-    known = home.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("score")).alias("known"))
-    limit = quantile(s.confidence, s.dims)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes = {d: x.boxes() for d, x in shared.value.items()}
-        for b in batches:
-            out: list[tuple] = []
-            for vec_id, v, dim, cell, score in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if dim not in boxes:
-                    continue
-                space, q = shared.value[dim], np.array([v])
-                score = float("-inf") if score is None else score
-                far = gap(space.project(q, True), *boxes[dim])[0]
-                wanted = np.flatnonzero(far < limit * max(0.0, space.top + float(q[0] @ q[0]) - 2 * score))
-                out += [(vec_id, v, dim, c, score) for c in wanted.tolist() if c != cell]
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["vec_id", "v", "dim", "cell", "known"])
-
-    if max(len(x.axis) for x in spaces.values()):
-        rest = map_arrow(ask.join(known, "vec_id", "left").select("vec_id", "v", "dim", "cell", "known"), others, "vec_id long, v array<double>, dim int, cell long, known double")
-        final, at_final = written(best(home.select("query_id", "vec_id", "score").union(met(rest))), "nearest")
-        remove(spark, at_home)
-    else:
+    def cells_of(df: DataFrame, first: bool) -> DataFrame:
+        """Each query with the cells it must search: first the longest shell's at its own place, then all others that the test doesn't rule out."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            boxes = {d: x.boxes() for d, x in shared.value.items()}
+            for b in batches:
+                out: list[tuple] = []
+                for vec_id, v, dim, cell, known in zip(*(b.column(i).to_pylist() for i in range(5))):
+                    if dim not in boxes:
+                        continue
+                    space, cells_ = shared.value[dim], directory.value[dim]
+                    home = cells_[cells_[:, 1] == cell][:1]
+                    if first:
+                        wanted = home
+                    else:
+                        unit, logs = scaled(np.array([v]))
+                        at = gap(unit @ space.matrix[:-1], *boxes[dim])[0][cells_[:, 1]]
+                        with np.errstate(over="ignore"):
+                            floor = known * np.exp2(-(logs[0] + (cells_[:, 0] + 1) / space.shells))
+                        wanted = cells_[(floor <= 1) & (at <= space.limit * (2 - 2 * np.clip(floor, -1, 1)))]
+                        wanted = wanted[~(wanted == home).all(1)] if len(home) else wanted
+                    out += [(vec_id, v, dim, shell, c, known) for shell, c in wanted.tolist()]
+                kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["vec_id", "v", "dim", "shell", "cell", "known"])
+
+        return map_arrow(df.select("vec_id", "v", "dim", "cell", "known"), run, "vec_id long, v array<double>, dim int, shell long, cell long, known double")
+
+    least = F.lit(float("-inf"))
+    home, at_home = written(best(met(cells_of(ask.withColumn("known", least), True))), "home")
+    if all(len(x) == 1 for x in there.values()):
         final = home
-    remove(spark, at_data, at_ask)
+    else:
+        known = home.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+        rest = cells_of(ask.join(known, "vec_id", "left").withColumn("known", F.coalesce("known", least)), False)
+        final, _ = written(best(home.select("query_id", "vec_id", "score").union(met(rest))), "nearest")
+        remove(spark, at_home)
+    remove(spark, at_data, at_ask, at_cells)
     return final.select("query_id", "rank", "vec_id", "score")
 
 
