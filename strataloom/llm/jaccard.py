@@ -13,15 +13,10 @@ from pyspark.sql.window import Window
 
 from .common import ODD, lists, map_arrow, mix, remove, shingles, sieved, table, written
 from .components import components
+from .flushes import FLUSH, FLUSH_DOCS, columns, loads, packed, prints, shape, unpacked
 
 #: Parts on which similar sets agree at least: these, and one more for every so many elements they may differ in.
 SLACK, MORE = 3, 8
-#: Fingerprints of signatures have so many bits more than the corpus has signatures, so few meet by chance; that only costs checks.
-SPARE_BITS = 13
-#: A flush of fingerprints: so many, and as many documents as a number of 15 bits can tell apart.
-FLUSH, FLUSH_DOCS = 1 << 21, 1 << 15
-#: Fingerprints of a range, which one reducer holds at a time.
-RANGE = 1 << 20
 BLOCK = 1024
 #: Buckets of so many members at most give their pairs by a join; larger ones are compared in blocks.
 SMALL = 8
@@ -101,29 +96,6 @@ def name_of(found: np.ndarray) -> int:
     return int(mix(mix(found ^ ODD).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found)))[0].astype(np.int64)) if len(found) else 0
 
 
-def packed(sig: np.ndarray, doc: np.ndarray, low_bytes: int, ranges: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """Fingerprints and their documents' numbers as (range, counts, low bytes, numbers), a row per range that has any.
-
-    Sorted fingerprints share their leading 16 bits with many others, so of these only counts are
-    kept; low_bytes bytes of the rest follow as they are.
-    """
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order].astype("<u2")
-    counts = np.bincount((sig >> np.uint64(8 * low_bytes)).astype(np.int64), minlength=1 << 16).astype("<u4")
-    low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes]
-    width = (1 << 16) // ranges
-    ends = np.r_[0, np.cumsum(counts.reshape(ranges, width).sum(1, dtype=np.int64))]
-    return [(r, counts[r * width : (r + 1) * width].tobytes(), low[a:e].tobytes(), doc[a:e].tobytes()) for r, (a, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < e]
-
-
-def unpacked(r: int, counts: bytes, low: bytes, doc: bytes, low_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    n = np.frombuffer(counts, "<u4")
-    high = np.repeat(np.arange(r * len(n), (r + 1) * len(n), dtype=np.uint64), n)
-    wide = np.zeros((len(high), 8), np.uint8)
-    wide[:, :low_bytes] = np.frombuffer(low, np.uint8).reshape(-1, low_bytes)
-    return (high << np.uint64(8 * low_bytes)) + wide.view("<u8")[:, 0], np.frombuffer(doc, "<u2")
-
-
 MET = "sig long, row long, doc_id long, th long, n long, node long, need int, need_next int"
 
 
@@ -135,11 +107,7 @@ def met(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     sets that a flush has twice are sent once. row is the flush's number times 2**16, plus twice the
     document's; a signature of the next band adds one.
     """
-    # Chars over 5 bounds words; it sets the fingerprints' length and the ranges' number, not what is found.
-    size = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    total = max(1, size // 5)
-    low_bytes = min(6, max(2, -(-(total.bit_length() + SPARE_BITS - 16) // 8)))
-    ranges = min(1 << 16, 1 << (total // RANGE).bit_length())
+    low_bytes, ranges = shape(docs)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -152,10 +120,10 @@ def met(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             lengths = list(map(len, sigs))
-            sig = np.concatenate([*sigs, np.zeros(0, np.uint64)]) >> np.uint64(48 - 8 * low_bytes)
+            sig = prints(np.concatenate([*sigs, np.zeros(0, np.uint64)]), low_bytes)
             later = np.arange(len(sig)) - np.repeat(np.cumsum([0, *lengths[:-1]]) if lengths else 0, lengths) >= np.repeat(own, lengths) if lengths else np.zeros(0, bool)
             doc = 2 * np.repeat(np.arange(len(sigs)), lengths) + later
-            rows = packed(sig, doc, low_bytes, ranges)
+            rows = packed(sig, loads(doc.astype("<u2")), low_bytes, ranges)
             flat = [pa.array([None] * len(rows) + [[m[i] for m in meta]], pa.list_(pa.int64())) for i in range(6)]
             blobs = [pa.array([*(r[i] for r in rows), None], pa.binary()) for i in (1, 2, 3)]
             return pa.RecordBatch.from_arrays([pa.array([*(r[0] for r in rows), flush % ranges], pa.int32()), pa.array([flush] * (len(rows) + 1), pa.int64()), *blobs, *flat], ["range", "flush", "counts", "low", "docs", *names])
@@ -207,8 +175,8 @@ def met(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     n = len(meta[0])
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array((flush << 16) + 2 * np.arange(n)), *(pa.array(m, t) for m, t in zip(meta, kinds[2:]))], fields)
                 else:
-                    sig, doc = unpacked(r, counts, low, doc, low_bytes)
-                    held.append((sig, (flush << 16) + doc.astype(np.int64)))
+                    sig, load = unpacked(r, counts, low, doc, low_bytes, 2)
+                    held.append((sig, (flush << 16) + columns(load, "<u2")[0].astype(np.int64)))
         if held:
             yield from shared()
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from strataloom.llm import jaccard
+from strataloom.llm import flushes, jaccard
 from strataloom.llm.common import shingles
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,9 +87,10 @@ def test_fingerprints_are_a_round_trip():
     rng = np.random.default_rng(8)
     for low, ranges in ((2, 1), (3, 8), (6, 64)):
         sig = rng.integers(0, 1 << 62, 5000).astype(np.uint64) >> np.uint64(62 - 16 - 8 * low + (2 if low == 6 else 0))
-        doc = rng.integers(0, 1 << 16, 5000)
-        got = [jaccard.unpacked(*row, low) for row in jaccard.packed(sig, doc, low, ranges)]
-        assert sorted(zip(np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist())) == sorted(zip(sig.tolist(), doc.tolist()))
+        doc, at = rng.integers(0, 1 << 16, 5000), rng.integers(0, 1 << 32, 5000)
+        got = [flushes.unpacked(*row, low, 6) for row in flushes.packed(sig, flushes.loads(doc.astype("<u2"), at.astype("<u4")), low, ranges)]
+        back = [(s, *(c.tolist() for c in flushes.columns(x, "<u2", "<u4"))) for s, x in got]
+        assert sorted((int(s), d, p) for g in back for s, d, p in zip(*g)) == sorted(zip(sig.tolist(), doc.tolist(), at.tolist()))
 
 
 def test_shingles():
