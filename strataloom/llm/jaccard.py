@@ -21,7 +21,7 @@ BLOCK = 1024
 #: Buckets of so many members at most give their pairs by a join; larger ones are compared in blocks.
 SMALL = 8
 #: Rounds in which a node meets the head that shares most of its buckets, before buckets are compared in full.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def band_of(size: int) -> tuple[int, int]:
@@ -197,8 +197,7 @@ def near(pairs: DataFrame, small: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (head, node) whose sizes and sketches (small: node, n, sketch) allow a link."""
     one = small.select(F.col("node").alias("head"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = small.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(one.select("head", "na"), "head").join(two.select("node", "nb"), "node").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    both = both.select("head", "node").join(one, "head").join(two, "node")
+    both = pairs.join(one, "head").join(two, "node").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,15 +220,13 @@ def words_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).view(np.uint64), at
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """pairs (head, node) with linked: whether their sets have den * intersection >= num * union.
+def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, str]:
+    """Those of pairs (head, node) whose sets have den * intersection >= num * union, and their table's path.
 
     Sketches rule out most of the others; what is left is checked by the sets themselves. A head's
     text goes to the group of its pairs once, and each other text once a pair. A head with many pairs
     is salted, so no group grows with it.
     """
-    spark = pairs.sparkSession
-    pairs, at_pairs = written(pairs, "pairs")
     kept, at_kept = written(near(pairs, texts.select("node", "n", "sketch"), num, den), "kept")
     counted = kept.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     full = texts.select("node", "text")
@@ -251,14 +248,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                     out.append((head, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["head", "node"])
 
-    links, at_links = written(map_arrow(dealt.select("head", "node", "text"), run, "head long, node long"), "checked")
-    out, _ = written(pairs.join(links.withColumn("linked", F.lit(True)), ["head", "node"], "left").select("head", "node", F.coalesce("linked", F.lit(False)).alias("linked")), "verdicts")
-    remove(spark, at_pairs, at_kept, at_links)
-    return out
+    links, at_links = written(map_arrow(dealt.select("head", "node", "text"), run, "head long, node long"), "links")
+    remove(pairs.sparkSession, at_kept)
+    return links, at_links
 
 
-def across(rows: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (head, node) of different components in a bucket that weren't tried.
+def across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (head, node) of different components in a bucket.
 
     rows: sig, m (the bucket's size), node, root, n, sketch. Of small buckets all such pairs come out,
     a few a member. A larger one is compared by sketches in blocks of BLOCK members, each pair of
@@ -316,7 +312,7 @@ def across(rows: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
             yield done(held)
 
     compared = map_arrow(dealt, run, "head long, node long")
-    return joined.union(compared).distinct().join(tried.select("head", "node"), ["head", "node"], "left_anti")
+    return joined.union(compared).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -372,17 +368,21 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("sig", "m")
         return placed.join(several, "sig")
 
+    def checked(pairs: DataFrame) -> bool:
+        pairs, at_pairs = written(pairs, "pairs")
+        return found.add(pairs, at_pairs, *verified(pairs, texts, words, num, den))
+
     for r in range(ROUNDS):
-        live, at_live = written(opened(), "open")
+        live, at_live = written(opened(), "open") if r else (found.placed(buckets), "")
         head = live.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(r))).alias("h"))
         ask = live.join(head, "sig").filter("root <> h.root").groupBy("node", F.col("h.node").alias("head")).agg(F.sum("weight").alias("m"))
-        ask = ask.withColumn("lo", F.least("head", "node")).withColumn("hi", F.greatest("head", "node"))
-        ask = ask.join(found.tried.select(F.col("head").alias("lo"), F.col("node").alias("hi")), ["lo", "hi"], "left_anti")
-        one = ask.groupBy("node").agg(F.max_by("head", F.struct("m", "head")).alias("head")).select("head", "node")
-        found.add(verified(one, texts, words, num, den))
-        remove(spark, at_live)
-    rest = opened().join(texts.select("node", "n", "sketch"), "node")
-    found.add(verified(across(rest, found.tried, num, den), texts, words, num, den))
+        one = found.untried(ask).groupBy("node").agg(F.max_by("head", F.struct("m", "head")).alias("head")).select("head", "node")
+        more = checked(one)
+        if r:
+            remove(spark, at_live)
+        if not more:
+            break
+    checked(found.untried(across(opened().join(texts.select("node", "n", "sketch"), "node"), num, den)))
     remove(spark, at_buckets, at_texts)
 
     named = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -393,43 +393,55 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     full = rows.filter("n > 0").join(per_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", "root")
     lone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th", F.lit(None).cast("long").alias("root"))
     out, _ = written(full.unionByName(lone), "classes")
-    remove(spark, at_all, *found.paths)
+    found.close()
+    remove(spark, at_all)
     return out
 
 
 class Found:
-    """What rounds of checks have found: roots of linked nodes, and the pairs that were tried, each ordered."""
+    """What rounds of checks have found: roots of linked nodes, and the pairs that were tried."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
-        self.roots = spark.createDataFrame([], "node long, root long")
-        self.tried = spark.createDataFrame([], "head long, node long")
+        self.at_roots: list[str] = []
+        self.roots: DataFrame | None = None
+        self.tried: DataFrame | None = None
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with the root of their node."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("node"))
         return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def add(self, checked: DataFrame) -> None:
-        """Join components by verified pairs (head, node, linked)."""
-        stale = self.paths
-        links = checked.filter("linked").select(F.col("head").alias("node"), F.col("node").alias("other"))
-        links = self.placed(links).select(F.col("root").alias("a"), F.col("other").alias("node"))
-        links = self.placed(links).select("a", F.col("root").alias("b"))
-        if not links.isEmpty():
-            joined, at_joined = components(links)
-            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            old = self.roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            new = joined.join(self.roots.select("node"), "node", "left_anti")
-            roots, at_roots = written(old.unionByName(new), "roots")
-            remove(self.spark, *at_joined)
-        else:
-            roots, at_roots = written(self.roots, "roots")
-        # Only refused pairs are kept: ends of links are in one component.
-        refused = checked.filter("not linked").select(F.least("head", "node").alias("head"), F.greatest("head", "node").alias("node"))
-        tried, at_tried = written(self.tried.unionByName(refused), "tried")
-        remove(self.spark, *stale)
-        self.roots, self.tried, self.paths = roots, tried, [at_roots, at_tried]
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        """pairs (head, node, ...) less those that were tried, either way round."""
+        if self.tried is None:
+            return pairs
+        return pairs.withColumn("lo", F.least("head", "node")).withColumn("hi", F.greatest("head", "node")).join(self.tried, ["lo", "hi"], "left_anti")
+
+    def add(self, pairs: DataFrame, at_pairs: str, links: DataFrame, at_links: str) -> bool:
+        """Note pairs (head, node) as tried, and join components by links (head, node), if there are any."""
+        tried = pairs.select(F.least("head", "node").alias("lo"), F.greatest("head", "node").alias("hi"))
+        self.tried = tried if self.tried is None else self.tried.unionByName(tried)
+        self.paths.append(at_pairs)
+        more = not links.isEmpty()
+        if more:
+            ends = self.placed(links.select(F.col("head").alias("node"), F.col("node").alias("other"))).select(F.col("root").alias("a"), F.col("other").alias("node"))
+            joined, at_joined = components(self.placed(ends).select("a", F.col("root").alias("b")))
+            if self.roots is None:
+                self.roots, self.at_roots = joined, at_joined
+            else:
+                moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+                old = self.roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                roots, at_roots = written(old.unionByName(joined.join(self.roots.select("node"), "node", "left_anti")), "roots")
+                remove(self.spark, *at_joined, *self.at_roots)
+                self.roots, self.at_roots = roots, [at_roots]
+        remove(self.spark, at_links)
+        return more
+
+    def close(self) -> None:
+        remove(self.spark, *self.paths, *self.at_roots)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
