@@ -160,7 +160,7 @@ def search(ids: np.ndarray, v: np.ndarray, qid: np.ndarray, q: np.ndarray, known
     x, p = space.padded(unit, logs, np.full(len(v), shell))
     tree = Tree(p, s.leaf)
     ids, v, x, p = ids[tree.order], v[tree.order], np.ascontiguousarray(x[tree.order]), np.ascontiguousarray(p[tree.order])
-    sizes = np.diff(tree.starts)
+    sizes, squares = np.diff(tree.starts), (p * p).sum(1)
     asked, logs = scaled(q)
     with np.errstate(over="ignore"):
         floors = known * np.exp2(-(logs + (shell + 1) / space.shells))
@@ -181,9 +181,8 @@ def search(ids: np.ndarray, v: np.ndarray, qid: np.ndarray, q: np.ndarray, known
                 new = (bound <= radius) & ~opened
                 if new.any():
                     opened |= new
-                    near = np.flatnonzero(np.repeat(new, sizes))
-                    d = p[near] - qp[i]
-                    far[near] = np.einsum("ij,ij->i", d, d)
+                    near = slice(None) if new.all() else np.flatnonzero(np.repeat(new, sizes))
+                    far[near] = np.maximum(0, squares[near] + qp[i] @ qp[i] - 2 * (p[near] @ qp[i]))
                 near = np.flatnonzero((far <= radius) & (far > before))
                 near = near[ids[near] != qid[i]]
                 read += len(near)
