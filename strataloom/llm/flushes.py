@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: Fingerprints have so many bits more than the corpus has hashes, so few meet by chance; that only costs checks.
 SPARE_BITS = 13
 #: A flush of fingerprints: so many, and as many documents as a number of 15 bits can tell apart.
-FLUSH, FLUSH_DOCS = 1 << 21, 1 << 15
+FLUSH, FLUSH_DOCS = 1 << 19, 1 << 15
 #: Fingerprints of a range, which one reducer holds at a time.
 RANGE = 1 << 20
 

@@ -16,7 +16,7 @@ from .common import map_arrow, table
 
 WINDOW, END_ID = 2048, 1
 #: Bytes of ids in open windows; only memory, as no placement depends on the number of windows.
-OPEN_BYTES = 64 << 20
+OPEN_BYTES = 32 << 20
 CACHE_WORDS = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
