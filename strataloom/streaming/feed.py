@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.store import Store
 
-CHANGES = "commit_hash string, ts timestamp, change_type string, key binary, old_value binary, new_value binary"
+CHANGES = "commit_hash string, version int, ts timestamp, change_type string, key binary, old_value binary, new_value binary"
 
 
 def publish_to(path: str) -> Callable[[Store, DataFrame], None]:
@@ -18,7 +18,7 @@ def publish_to(path: str) -> Callable[[Store, DataFrame], None]:
 
     def hook(store: Store, changes: DataFrame) -> None:
         ts = store.read_commit(store.head)[3]
-        changes.select(F.lit(store.head).alias("commit_hash"), F.timestamp_seconds(F.lit(ts)).alias("ts"), "change_type", "key", "old_value", "new_value").write.mode("append").parquet(path)
+        changes.select(F.lit(store.head).alias("commit_hash"), F.lit(store.depth(store.head)).cast("int").alias("version"), F.timestamp_seconds(F.lit(ts)).alias("ts"), "change_type", "key", "old_value", "new_value").write.mode("append").parquet(path)
 
     return hook
 
@@ -40,10 +40,10 @@ def subscribe(stream: DataFrame, handler: Callable[[DataFrame, int], None], chec
 
 
 def mirror(stream: DataFrame, target: Store, checkpoint: str, message: str = "mirror") -> StreamingQuery:
-    """Apply each batch of changes to another store as one commit; a key's last change in a batch counts."""
+    """Apply each batch of changes to another store as one commit; a key's change of the latest version in a batch counts."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("key").agg(F.max_by(F.struct("change_type", "new_value"), "ts").alias("x")).select("key", "x.*")
+        last = batch.groupBy("key").agg(F.max_by(F.struct("change_type", "new_value"), "version").alias("x")).select("key", "x.*")
         target.put_all(last.filter("change_type <> 'deleted'").select("key", F.col("new_value").alias("value")))
         target.delete_all(last.filter("change_type = 'deleted'").select("key"))
         target.commit(f"{message} {number}")
