@@ -40,6 +40,24 @@ SQL: dict[str, str] = {
             CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op3_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars FROM d),
+        line AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM w),
+        again AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY pos) AS nth FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        lines AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM again WHERE nth > 1 GROUP BY r),
+        k AS (SELECT unnest(range(2, 11)) AS k),
+        g AS (SELECT r, k, i, word_chars, array_to_string(ws[i : i + k - 1], ' ') AS g FROM w, k, unnest(range(1, len(ws) - k + 2)) x(i)),
+        n AS (SELECT *, count(*) OVER (PARTITION BY r, k, g) AS c FROM g),
+        top AS (SELECT r, bool_or(c * length(replace(g, ' ', '')) > (CASE k WHEN 2 THEN 0.20 WHEN 3 THEN 0.18 ELSE 0.16 END)::DOUBLE * word_chars) AS failed FROM n WHERE c > 1 AND k < 5 GROUP BY r),
+        inside AS (SELECT DISTINCT r, k, i + o AS j FROM n, unnest(range(k)) y(o) WHERE c > 1 AND (k = 3 OR k >= 5)),
+        dup AS (SELECT r, k, word_chars, count(*) AS n, sum(length(ws[j])) AS chars FROM inside JOIN w USING (r) GROUP BY ALL),
+        dups AS (SELECT r, max(n) FILTER (k = 3) AS repeated, bool_or(k >= 5 AND chars > ((35 - k) / 100)::DOUBLE * word_chars) AS failed FROM dup GROUP BY r),
+        m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated, 0)::BIGINT AS n_repeat_words, coalesce(top.failed, false) OR coalesce(dups.failed, false) OR coalesce(lines.chars > 0.30::DOUBLE * word_chars, false) AS failed
+            FROM w LEFT JOIN lines USING (r) LEFT JOIN top USING (r) LEFT JOIN dups USING (r)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR failed) AS kept FROM b""",
     "op8_ngram_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]

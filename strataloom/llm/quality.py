@@ -163,4 +163,4 @@ def keep(docs: DataFrame, rules: RepetitionRules | None = None) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents"))
+    return assess(table(spark, sf_dir, "documents")).drop("dup_line_chars", "top_chars", "dup_chars")
