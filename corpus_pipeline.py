@@ -12,12 +12,16 @@ from strataloom.llm.common import new_path, parted, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model recognises; fitted on their own lang labels."""
+    """Documents whose language the model recognises; fitted on their own lang labels.
+
+    A null, empty or letterless text has no language and goes; rows with a null lang or id are judged
+    like others, and repeated rows alike.
+    """
     return langid.keep(docs)
 
 
 def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. A null or short text goes; repeated rows are judged alike."""
     return quality.keep(docs)
 
 
@@ -44,12 +48,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another document keeps."""
+    """Documents without the passages that another document keeps.
+
+    Null and empty texts stay as they are; a document with no word left goes. Of exact copies one
+    keeps its text; repeated rows count as one text, and each of them stays or is cut alike.
+    """
     return passages.cut(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens. A null text is its end token alone; repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -61,7 +69,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Language models, alignment and packing have no SQL form; tests hold the stages against brute force.
+#: Language models, alignment and packing have no SQL form; tests hold the middle stages against brute force.
 ORACLE_SQL: str | None = None
 
 
