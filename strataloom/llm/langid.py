@@ -132,10 +132,11 @@ def train(docs: DataFrame, s: Settings | None = None) -> Model:
     """Fit on at most train_docs rows and train_chars characters: those of least hash.
 
     Hashes alone are ranked, and the bounded list of those picked is broadcast, so no text is moved
-    that isn't used.
+    that isn't used. A text longer than a quarter of train_chars isn't learned from, so that it can't
+    crowd out others.
     """
     s = s or Settings()
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.xxhash64("doc_id", "text", F.lit(s.seed)).alias("k"), "lang", "text")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= s.train_chars // 4)).select(F.xxhash64("doc_id", "text", F.lit(s.seed)).alias("k"), "lang", "text")
     picked = known.select("k").orderBy("k").limit(s.train_docs).distinct()
     sample = known.join(F.broadcast(picked), "k").orderBy("k", "lang").limit(s.train_docs)
     total = F.sum(F.length("text")).over(Window.orderBy("k", "lang").rowsBetween(Window.unboundedPreceding, 0))

@@ -60,11 +60,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
     """
     seen = np.zeros(1 << 24, np.uint16)
     low = np.uint32((1 << 24) - 1)
-    if len(rows) > 50 * s.min_docs:
-        for x in rows:
-            k = np.unique(x & low)
-            seen[k] += seen[k] < 65535
-        rows = [x[seen[x & low] >= s.min_docs] for x in rows]
+    for x in rows:
+        k = np.unique(x & low)
+        seen[k] += seen[k] < 65535
+    rows = [x[seen[x & low] >= s.min_docs] for x in rows]
     names = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]))
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     docs = [np.r_[np.searchsorted(names, x), len(names)].astype(np.int32) for x in rows]  # the last coordinate is the bias
@@ -92,11 +91,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Mode
     """Fit on at most train_docs labelled rows and train_chars characters: those of least hashed id.
 
     The sample of labels is bounded before it meets the documents, so it can be broadcast to them.
+    A text longer than a quarter of train_chars isn't learned from, so that it can't crowd out others.
     """
     s = s or Settings()
     key = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
     picked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic", key.alias("k")).orderBy("k", "toxic").limit(s.train_docs)
-    joined = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    joined = docs.filter(F.length("text") <= s.train_chars // 4).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     total = F.sum(F.length("text")).over(Window.orderBy("k", "toxic", "text").rowsBetween(Window.unboundedPreceding, 0))
     rows = joined.orderBy("k", "toxic", "text").limit(s.train_docs).withColumn("total", total).filter(F.col("total") <= s.train_chars).select("toxic", "text").toPandas()
     texts, y = rows.pop("text").tolist()[::-1], rows.toxic.to_numpy(float)
