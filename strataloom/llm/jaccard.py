@@ -253,10 +253,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return links, at_links
 
 
-def across(rows: DataFrame, num: int, den: int) -> DataFrame:
+def across(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (head, node) of different components in a bucket.
 
-    rows: sig, m (the bucket's size), node, root, n, sketch. Of small buckets all such pairs come out,
+    rows: sig, m (the bucket's size), node, root; sketches: node, n, sketch. Of small buckets all such pairs come out,
     a few a member. A larger one is compared by sketches in blocks of BLOCK members, each pair of
     blocks a task's group of its own, so no group grows with the bucket, and only pairs that may be
     linked come out.
@@ -264,7 +264,7 @@ def across(rows: DataFrame, num: int, den: int) -> DataFrame:
     few = rows.filter(F.col("m") <= SMALL).select("sig", "node", "root")
     other = few.select("sig", F.col("node").alias("far"), F.col("root").alias("far_root"))
     joined = few.join(other, "sig").filter("node > far and root <> far_root").select(F.col("far").alias("head"), "node").distinct()
-    large = rows.filter(F.col("m") > SMALL)
+    large = rows.filter(F.col("m") > SMALL).join(sketches, "node")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
     spread = large.withColumn("blocks", blocks).withColumn("own", own).select("sig", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -382,7 +382,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             remove(spark, at_live)
         if not more:
             break
-    checked(found.untried(across(opened().join(texts.select("node", "n", "sketch"), "node"), num, den)))
+    rest, at_rest = written(opened(), "open")
+    checked(found.untried(across(rest, texts.select("node", "n", "sketch"), num, den)))
+    remove(spark, at_rest)
     remove(spark, at_buckets, at_texts)
 
     named = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
