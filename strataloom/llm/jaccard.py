@@ -20,6 +20,8 @@ SLACK, MORE = 3, 8
 BLOCK = 1024
 #: Buckets of so many members at most give their pairs by a join; larger ones are compared in blocks.
 SMALL = 8
+#: Larger buckets that share their members' least hash are compared in one group, up to about so many members in sum.
+GROUP = 1 << 14
 #: Rounds in which a node meets the head that shares most of its buckets, before buckets' members are compared.
 ROUNDS = 2
 #: Rounds at most in which blocks of a bucket name one pair for two components, before they name all.
@@ -258,21 +260,29 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
 def across(rows: DataFrame, sketches: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
     """Pairs (sig, head, node) of different components in a bucket; sig is null for small buckets.
 
-    rows: sig, m (the bucket's size), node, root; sketches: node, n, sketch. Of small buckets all such pairs come out,
-    a few a member. A larger one is compared by sketches in blocks of BLOCK members, each pair of
-    blocks a task's group of its own, so no group grows with the bucket, and only pairs that may be
-    linked come out. As a forest a group gives only pairs that would join all its components that
-    may be linked, if they were links: fewer than it has members, while all pairs are as many as its square.
+    rows: sig, m (the bucket's size), lead (its members' least hash), node, root; sketches: node, n, sketch.
+    Of small buckets all such pairs come out, a few a member. A larger one is compared by sketches in
+    blocks of BLOCK members, each pair of blocks in one task's group, so no group grows with the
+    bucket, and only pairs that may be linked come out. Like buckets mostly have one lead: they share
+    a group, to which a node's sketch goes once, with the buckets that hold it, and each is compared
+    alone there. As a forest a bucket's blocks give only pairs that would join all their components
+    that may be linked, if they were links: fewer than they have members, while all pairs are as many
+    as their square.
     """
     few = rows.filter(F.col("m") <= SMALL).select("sig", "node", "root")
     other = few.select("sig", F.col("node").alias("far"), F.col("root").alias("far_root"))
     joined = few.join(other, "sig").filter("node > far and root <> far_root").select(F.lit(None).cast("long").alias("sig"), F.col("far").alias("head"), "node").distinct()
-    large = rows.filter(F.col("m") > SMALL).join(sketches, "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    large = rows.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    # Rows here are fewer than those of large by GROUP, as the others have one part.
+    parts = large.groupBy("lead", "blocks").agg(F.ceil(F.count("*") / F.lit(GROUP) / F.col("blocks")).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("sig", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    placed = large.join(F.broadcast(parts), ["lead", "blocks"], "left").select("lead", "blocks", part, "node", "root", "sig").repartition("node")
+    once = placed.groupBy("lead", "blocks", "part", "node", "root").agg(F.collect_list("sig").alias("sigs")).join(sketches, "node")
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    spread = large.withColumn("blocks", blocks).withColumn("own", own).select("sig", "node", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = spread.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch")
-    dealt = keyed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")  # by node, so that forests of like buckets have like pairs
+    spread = once.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["lead", "blocks", "part", "i", "j"]
+    keyed = spread.select("lead", "blocks", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch", "sigs")
+    dealt = keyed.repartition(*key).sortWithinPartitions(*key, "node")  # by node, so that forests of like buckets have like pairs
 
     def compare(own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: list[np.ndarray]) -> Iterator[np.ndarray]:
         two = own.min() != own.max()
@@ -301,20 +311,26 @@ def across(rows: DataFrame, sketches: DataFrame, num: int, den: int, forest: boo
             out = [np.zeros((3, 0), np.int64)]
             if t.num_rows:
                 b = t.combine_chunks().to_batches()[0]
-                key = [b.column(c).to_numpy() for c in range(3)]
-                cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
-                own, node, root, n = (b.column(c).to_numpy() for c in range(3, 7))
-                flat, at = words_of(b.column(7))
-                for a, e in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
-                    if key[1][a] == key[2][a] or own[a:e].min() != own[a:e].max():
-                        pairs = compare(own[a:e], node[a:e], root[a:e], n[a:e], [flat[at[k] : at[k + 1]] for k in range(a, e)])
-                        out += [np.concatenate([np.full((1, p.shape[1]), key[0][a]), p]) for p in pairs]
+                key = [b.column(c).to_numpy() for c in range(5)]
+                group = np.cumsum(np.r_[False, np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
+                own, node, root, n = (b.column(c).to_numpy() for c in range(5, 9))
+                flat, at = words_of(b.column(9))
+                sigs, ends = words_of(b.column(10))
+                sigs, of = sigs[ends[0] : ends[-1]].view(np.int64), np.repeat(np.arange(b.num_rows), np.diff(ends))
+                order = np.lexsort((sigs, group[of]))  # stable: a bucket's rows stay in order
+                sigs, of = sigs[order], of[order]
+                cut = np.flatnonzero(np.r_[True, (sigs[1:] != sigs[:-1]) | (group[of[1:]] != group[of[:-1]])])
+                for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(sigs)]):
+                    y = of[a:e]
+                    if key[3][y[0]] == key[4][y[0]] or own[y].min() != own[y].max():
+                        pairs = compare(own[y], node[y], root[y], n[y], [flat[at[k] : at[k + 1]] for k in y.tolist()])
+                        out += [np.concatenate([np.full((1, p.shape[1]), sigs[a]), p]) for p in pairs]
             found = np.unique(np.concatenate(out, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["sig", "head", "node"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            same = np.logical_and.reduce([(k := t.column(c).to_numpy()) == k[-1] for c in range(3)]) if t.num_rows else np.zeros(0, bool)
+            same = np.logical_and.reduce([(k := t.column(c).to_numpy()) == k[-1] for c in range(5)]) if t.num_rows else np.zeros(0, bool)
             last = int(np.argmax(same)) if len(same) else 0  # the open group waits
             yield done(t.slice(0, last))
             held = t.slice(last)
@@ -368,15 +384,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     wanted = meta.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", F.coalesce("doc_id", F.lit(-1)).alias("id"), "n")).alias("x")).select("node", "x.*")
     wanted, at_wanted = written(wanted, "wanted")
-    source = sieved(docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), "text"), "th", wanted.select("th"))
-    texts, at_texts = written(sketched(source.join(wanted, ["th", "id"]).dropDuplicates(["node"]), words), "texts")
+    name = F.xxhash64("th", "id").alias("name")
+    source = sieved(docs.select(F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), "text").select("*", name), "name", wanted.select(name))
+    # By the join's own keys, so that texts aren't moved again; a text has one node.
+    texts, at_texts = written(sketched(source.join(wanted, ["th", "id"]).dropDuplicates(["th", "id"]), words), "texts")
     remove(spark, at_wanted)
 
     found = Found(spark)
 
     def opened() -> DataFrame:
         placed = found.placed(buckets)
-        several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("sig", "m")
+        several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.min(F.xxhash64("node", F.lit(11))).alias("lead")).filter("lo < hi").select("sig", "m", "lead")
         return placed.join(several, "sig")
 
     def checked(pairs: DataFrame) -> bool:

@@ -131,3 +131,29 @@ def test_a_large_group_is_joined_by_few_pairs(spark, monkeypatch):
     rows = list(enumerate([*near_copies(rng, 150, 300, 3), *near_copies(rng, 60, 200, 9), *near_copies(rng, 5, 100, 2)]))
     assert found(spark, rows) == brute(rows)
     assert 3 * sum(tried) < 150 * 149 // 2
+
+
+def test_sketches_go_once_to_like_buckets(spark, monkeypatch):
+    """Members of a large group share many buckets of nearly the same members: a node's sketch isn't sent for each."""
+    sent, members = [], []
+    across, map_arrow = jaccard.across, jaccard.map_arrow
+
+    def opened(rows, *rest):
+        members.append(rows.filter("m > 8").count())
+        return across(rows, *rest)
+
+    def counted(df, fn, schema):
+        if schema == "sig long, head long, node long":
+            sent.append(df.count())
+        return map_arrow(df, fn, schema)
+
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "across", opened)
+    monkeypatch.setattr(jaccard, "map_arrow", counted)
+    rng = random.Random(8)
+    rows = list(enumerate([*near_copies(rng, 150, 300, 3), *near_copies(rng, 90, 200, 9)]))
+    assert found(spark, rows) == brute(rows)
+    assert 3 * sent[0] < members[0]
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "GROUP", 32)
+    assert found(spark, rows) == brute(rows)
